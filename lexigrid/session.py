@@ -19,5 +19,5 @@ def local_session(cores: int | str = 8, partitions: int = 8, memory: str = "8g")
     for key, value in SETTINGS.items():
         build = build.config(key, value)
     spark = build.getOrCreate()
-    spark.sparkContext.setLogLevel("ERROR")
+    spark.sparkContext.setLogLevel("OFF")
     return spark
