@@ -1,10 +1,13 @@
 """Queries of the corpus operators over the test tables, and their SQL where SQL can say it."""
 
-from lexigrid.llm import exact_dedup, mixing
+from lexigrid.llm import exact_dedup, fingerprint, langid, mixing, quality
 
 QUERIES = {
+    "op1_langid": langid.op1_langid,
+    "op2_fingerprint": fingerprint.op2_fingerprint,
     "op3_mixing": mixing.op3_mixing,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op7_quality": quality.op7_quality,
 }
 
 ORACLES = {

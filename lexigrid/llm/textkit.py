@@ -8,6 +8,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+
+from lexigrid.shipping import ship
 
 #: A slice handed to the vectorised code holds about so many bytes of text; one longer document is a slice of its own.
 SLICE_BYTES = 3 << 20
@@ -24,6 +27,12 @@ _ROOT = np.uint64(0x9E3779B97F4A7C15)
 _tables: list[np.ndarray] = []
 
 
+def python_stage(df: DataFrame, run, schema: str) -> DataFrame:
+    """``mapInArrow`` with this package at hand in the workers."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def _powers() -> list[np.ndarray]:
     if not _tables:
         for root in (int(_ROOT), pow(int(_ROOT), -1, 1 << 64)):
