@@ -112,15 +112,18 @@ class MatchPhrase(Query):
         def fits(x: Column, f: Feature) -> Column:
             return x == F.lit(f[1]) if len(f) == 2 else within(x, f[1], f[2])
 
-        def at(i: Column) -> Column:
-            out = fits(F.get(field, i), fs[0])
-            for j in range(1, k):
-                out = out & fits(F.get(field, i + j), fs[j])
-            return out
-
-        starts = F.sequence(F.lit(0), F.greatest(F.size(field) - k, F.lit(0)))
-        quick = F.array_contains(field, F.lit(fs[0][1])) if len(fs[0]) == 2 else F.lit(True)
-        return F.coalesce(quick & (F.size(field) >= k) & F.exists(starts, at), F.lit(False))
+        def inside(t: Column) -> Column:
+            def at(i: Column) -> Column:
+                out = fits(F.get(t, i), fs[0])
+                for j in range(1, k):
+                    out = out & fits(F.get(t, i + j), fs[j])
+                return out
+
+            quick = F.array_contains(t, F.lit(fs[0][1])) if len(fs[0]) == 2 else F.lit(True)
+            return quick & (F.size(t) >= k) & F.exists(F.sequence(F.lit(0), F.greatest(F.size(t) - k, F.lit(0))), at)
+
+        # the tokens are bound once a row: inlined, they would be made anew at every position
+        return F.coalesce(F.exists(F.array(F.col(field)), inside), F.lit(False))
 
 
 REGISTRY: dict[str, type] = {c.kind: c for c in (MatchAny, MatchAll, AndNot)}
