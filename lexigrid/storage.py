@@ -36,14 +36,25 @@ def materialize(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def release(df: DataFrame) -> None:
+    """Delete the table that materialize() returned as ``df``. Only for one whose readers have all been materialised."""
+    files = df.inputFiles()
+    for made in list(_made):
+        if any(made[1].rpartition("/")[2] in f for f in files[:1]):
+            _delete(*made)
+            _made.remove(made)
+
+
 def discard() -> None:
     """Delete every table that materialize() wrote in this process."""
     while _made:
-        spark, path = _made.pop()
         try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            _delete(*_made.pop())
         except Exception:  # noqa: BLE001 - the session is gone at interpreter exit
             return
 
