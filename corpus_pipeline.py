@@ -20,27 +20,29 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that the classifier takes for good; labels of held-out documents are not learned from."""
-    found = quality.classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).filter("predicted = 1").select(F.col("id").alias("doc_id")).distinct()
-    return docs.select(*COLUMNS).join(found, "doc_id", "left_semi")
+    """Without the rows that the classifier rejects; labels of held-out documents are not learned from. Rows without an id stay."""
+    gone = quality.classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).filter("predicted = 0").select(F.col("id").alias("doc_id"))
+    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id."""
+    """Of equal texts the row with the largest doc_id, and rows without one."""
     gone = exact_dedup.exact_dedup(docs).filter(~F.col("kept")).select(F.col("id").alias("doc_id"))
     return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the row with the smallest doc_id."""
+    """Of each group of near copies the row with the smallest doc_id, and rows without one."""
     gone = near_dedup.near_dedup(docs).filter(~F.col("kept")).select(F.col("id").alias("doc_id"))
     return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each time that the mix takes a document; the last one may hold only its first words."""
-    taken = mixing.mix(materialize(mixing.sizes(docs), "mix-sizes")).filter("taken > 0").select(F.col("id").alias("doc_id"), "size", "taken")
-    rows = docs.select(*COLUMNS).join(taken, "doc_id")
+    """A row for each time that the mix takes a document; the last one may hold only its first words. Equal rows get equal shares."""
+    keyed = docs.select(*COLUMNS).withColumn("row", F.concat_ws(":", F.col("doc_id").cast("string"), F.xxhash64("text", "source").cast("string")))
+    found = mixing.mix(materialize(mixing.sizes(keyed, id_col="row"), "mix-sizes")).filter("taken > 0")
+    taken = found.groupBy(F.col("id").alias("row")).agg(F.max("size").alias("size"), F.max("taken").alias("taken"))
+    rows = keyed.join(taken, "row")
     whole = F.expr("taken div size").cast("int")
     rest = (F.col("taken") % F.col("size")).cast("int")
     parts = F.concat(F.array_repeat(F.lit(0), whole), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>")))
