@@ -257,6 +257,11 @@ def refine_only(members: DataFrame, state: DataFrame, ids: list[int], iterations
     return replace(state, refine(members, some, iterations, seed))
 
 
+def refine_many(members: DataFrame, states: dict[str, DataFrame], iterations: int = 10, seed: int = 0) -> dict[str, DataFrame]:
+    """Several clusterings, each refined on its own."""
+    return {name: refine(members, s, iterations, seed) for name, s in states.items()}
+
+
 def as_features(members: DataFrame, state: DataFrame, field: str = "cluster") -> DataFrame:
     """Clusters as features: (field, value, doc_id), by the union of their documents."""
     return cluster_docs(members, state).select(F.lit(field).alias("field"), F.col("cluster_id").cast("string").alias("value"), "doc_id")

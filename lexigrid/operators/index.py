@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lexigrid.functions.ranges import quantile_cuts, range_of
 from lexigrid.functions.values import Feature, FeatureCodec, check_feature
 from lexigrid.spec import RANGE, SCALAR, SEQUENCE, SET, CorpusSpec, FieldSpec, handler_of
 
@@ -57,6 +58,10 @@ class Index:
         """Documents of the ids in a table (doc_id)."""
         return self.docs.join(ids.select("doc_id"), "doc_id", "left_semi")
 
+    def keys(self, ids: DataFrame, *columns: str) -> DataFrame:
+        """(doc_id, columns) for ids that must all exist, such as the keys that the spec keeps."""
+        return self.checked_ids(ids).join(self.docs.select("doc_id", *columns), "doc_id")
+
     def checked_ids(self, ids: DataFrame) -> DataFrame:
         """The ids, failing the query if one is not in the index."""
         known = self.docs.select("doc_id", F.lit(True).alias("known"))
@@ -174,14 +179,12 @@ def cumulative(index: Index, field: str) -> DataFrame:
     return running_sum(counts, "value", "doc_count", "cumulative_count")
 
 
-def running_sum(df: DataFrame, order: str, amount: str, name: str, parts: int = 32) -> DataFrame:
-    """Prefix sums over distinct ``order`` values: quantile ranges, a window inside each, and offsets of the ranges before."""
-    if isinstance(df.schema[order].dataType, T.NumericType):
-        cuts = sorted(set(df.approxQuantile(order, [i / parts for i in range(1, parts)], 0.01)))
-        part = F.size(F.filter(F.lit(cuts) if cuts else F.array().cast("array<double>"), lambda c: c < F.col(order)))
-    else:
-        part = F.lit(0)
-    cut = df.withColumn("_part", part)
+def running_sum(df: DataFrame, order: str, amount: str, name: str) -> DataFrame:
+    """Prefix sums over distinct numeric ``order`` values: quantile ranges, a window inside each, and offsets of the ranges before."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if not isinstance(df.schema[order].dataType, T.NumericType):
+        raise ValueError(f"{order} is not numeric")
+    cut = df.withColumn("_part", range_of(F.col(order), quantile_cuts(df, order, parts)))
     total = cut.groupBy("_part").agg(F.sum(amount).alias("_sum"))
     before = total.withColumn("_before", F.sum("_sum").over(Window.orderBy("_part")) - F.col("_sum")).select("_part", "_before")  # one row a range
     inner = Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)

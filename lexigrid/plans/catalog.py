@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from lexigrid.functions.tokenize import boundary_tokens, display_tokens, word_tokens
 from lexigrid.operators import clusters as C
-from lexigrid.operators import facets, positions
+from lexigrid.operators import facets, positions, views
 from lexigrid.operators.index import Index, cumulative, documents_spec, prefix_range
 from lexigrid.operators.query import AndNot, MatchAll, MatchAny, MatchPhrase, clause_query
 from lexigrid.sources import tables as S
-from lexigrid.spec import RANGE, SCALAR, CorpusSpec, FieldSpec
+from lexigrid.spec import RANGE, SCALAR, CorpusSpec, FieldSpec, spec_of
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -516,3 +516,27 @@ def _(spark, sf):
 def _(spark, sf):
     i, members, state = _kept(spark, sf)
     return C.consensus(members, [state, C.merge(state, [1, 2])], 3, 3, 42)
+
+
+@query("browse_clusters", f"WITH {CL}, {QL}, g AS (SELECT cluster_id, CAST(count(*) AS BIGINT) AS d, CAST(count(ql.doc_id) AS BIGINT) AS h FROM cov LEFT JOIN ql USING (doc_id) GROUP BY cluster_id) SELECT cluster_id, h AS hits, h / CAST(d + q - h AS DOUBLE) AS jaccard_similarity FROM g, t WHERE h > 0 ORDER BY jaccard_similarity DESC, cluster_id LIMIT 5")
+def _(spark, sf):
+    i, members, state = _kept(spark, sf)
+    return views.browse(i, members, state, [[("lang", "en")]], top_clusters=5).clusters.select("cluster_id", "hits", "jaccard_similarity")
+
+
+@query("browse_features", f"WITH {FF}, j AS (SELECT cluster_id, field, value, h AS hits, h / CAST(d + q - h AS DOUBLE) AS jaccard_similarity FROM g, t), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY cluster_id ORDER BY jaccard_similarity DESC, field, value) AS INT) AS rank FROM j) SELECT * FROM r WHERE rank <= 15 OR cluster_id = 2")
+def _(spark, sf):
+    i, members, state = _kept(spark, sf)
+    return views.browse(i, members, state, [[("lang", "en")]], expanded=[2]).features.select("cluster_id", "field", "value", "hits", "jaccard_similarity", "rank")
+
+
+@query("browse_everything", f"WITH {CL} SELECT cluster_id, CAST(docs_any AS BIGINT) AS doc_count, docs_any / CAST({N} AS DOUBLE) AS jaccard_similarity FROM cs ORDER BY jaccard_similarity DESC, cluster_id LIMIT 30")
+def _(spark, sf):
+    i, members, state = _kept(spark, sf)
+    return views.browse(i, members, state, []).clusters.select("cluster_id", "doc_count", "jaccard_similarity")
+
+
+@query("tabular_spec", "SELECT count(*) AS n FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal >= 0 AND c_acctbal < 1000")
+def _(spark, sf):
+    i = Index.build(table(spark, sf, "customer"), spec_of(table(spark, sf, "customer"), "c_custkey", ("c_name",)))
+    return MatchAll(("c_mktsegment", "BUILDING"), ("c_acctbal", 0.0, 1000.0)).evaluate(i).agg(F.count(F.lit(1)).alias("n"))

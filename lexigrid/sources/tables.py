@@ -188,3 +188,19 @@ def line_starts(body: Column) -> Column:
 
 def or_default(value: Column, default: str = "<Not assigned>") -> Column:
     return F.coalesce(F.nullif(value, F.lit("")), F.lit(default))
+
+
+def post_fields(df: DataFrame, id_col: str, raw: str) -> DataFrame:
+    """The columns that a mail's features come from: subject, body and ignored text, newsgroups, sender, date, line starts.
+
+    The date is that of the header, whatever its zone; null if it can't be read."""
+    posts = parse_post(df, raw)
+    lines = mark_lines(posts, id_col, "body").groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("line_no", "line", "ignored"))).alias("_l"))
+    text = lambda flag: F.array_join(F.transform(F.filter("_l", lambda x: x["ignored"] if flag else ~x["ignored"]), lambda x: x["line"]), "\n")
+    h = lambda name: F.trim(F.col("headers")[name])
+    day = F.regexp_extract(h("date"), r"(\d{1,2} [A-Z][a-z]{2} \d{4})", 1)
+    return posts.join(lines, id_col, "left").select(
+        id_col, h("subject").alias("subject"), F.coalesce(text(False), F.lit("")).alias("body"), F.coalesce(text(True), F.lit("")).alias("ignored"),
+        F.transform(F.split(h("newsgroups"), ","), lambda x: F.trim(x)).alias("newsgroup"), h("from").alias("from"), h("organization").alias("organization"), h("distribution").alias("distribution"),
+        F.try_to_timestamp(day, F.lit("d MMM yyyy")).cast("date").alias("date"), line_starts(F.col("body")).alias("line_start"),
+    )

@@ -67,3 +67,20 @@ class CorpusSpec:
             kind = out.schema[f.name].dataType
             handler_of(kind.elementType if isinstance(kind, T.ArrayType) else kind)
         return out
+
+
+def spec_of(df: DataFrame, key: str, text: tuple[str, ...] = ()) -> CorpusSpec:
+    """A spec from a table's columns: the named ones are sequences, other scalars of a known type are scalars, the rest is left out."""
+    fields = []
+    for c in df.schema:
+        if c.name == key:
+            continue
+        if c.name in text:
+            fields.append(FieldSpec(c.name, SEQUENCE))
+            continue
+        try:
+            handler_of(c.dataType)
+        except SchemaValidationError:
+            continue
+        fields.append(FieldSpec(c.name, SCALAR))
+    return CorpusSpec(tuple(fields), key)
