@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexigrid.functions.ranges import quantile_cuts, range_of
 from lexigrid.llm.textkit import python_stage, mix, slices, texts
 
 WIDTH, K = 8, 128
@@ -127,11 +128,8 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ids = docs.select(F.col(id_col).cast("long").alias("id"))
-    cuts = sorted(set(ids.approxQuantile("id", [i / n for i in range(1, n)], 0.2 / n))) if n > 1 else []
-    rng = F.lit(0)
-    if cuts:
-        bounds = F.lit([int(c) for c in cuts])
-        rng = F.size(F.filter(bounds, lambda c: c < F.col("id")))
+    cuts = [int(c) for c in quantile_cuts(ids, "id", n)]
+    rng = range_of(F.col("id"), cuts)
     rng = F.when(F.col("id").isNull(), F.lit(n)).otherwise(F.lit(len(cuts)) - rng)
     top = F.max("id").alias("head")
     heads = [(r["range"], r["head"]) for r in ids.withColumn("range", rng).groupBy("range").agg(top).orderBy("range").collect()]  # one row a range
