@@ -2,7 +2,7 @@
 
 Suffixes start at anchors: the least hashed GRAM-word group of every window of LENGTH words. Equal windows have the same
 anchor, so documents that share a window share an anchor's gram, and only suffixes with a gram that occurs in two documents
-are indexed at all. A suffix and the words before it that a window may reach is a context; equal contexts are one, with
+are indexed at all. The words of all windows that have an anchor are its context; equal contexts are one, with
 the smallest id that has it. The gram is a suffix's prefix, and suffixes are partitioned by it. Partitions are
 worked off in groups that fit in memory: each group's suffixes are sorted to depth LENGTH by doubling, which is the
 suffix tree cut at that depth, held as ranks; ranks that several suffixes share are its deep internal nodes, whose smallest
@@ -19,7 +19,6 @@ results; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexigrid.llm.textkit import flat, mix, python_stage, segments, slices, span_hash, texts, words
-from lexigrid.storage import materialize, sized
+from lexigrid.storage import materialize, release
 
 LENGTH, GRAM = 50, 12
 #: Contexts that one group of subtrees holds, and from which a single gram is too large for one.
@@ -67,16 +66,22 @@ def argmin_windows(g: np.ndarray, width: int) -> np.ndarray:
     return less(i[: len(i) - d], i[d:]) if d else i
 
 
-def anchors(h: np.ndarray, first: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """Positions among all words, and gram hashes, of the anchors of every window that lies in one document."""
+def anchors(h: np.ndarray, first: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Anchors of every window that lies in one document: gram hashes, and first and last start of the windows that have it."""
+    none = np.zeros(0, np.int64)
     if len(h) < length:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), none, none
     g = grams(h, gram)
     best = argmin_windows(g, length - gram + 1)
     left = np.repeat(first[1:], np.diff(first)) - np.arange(len(h))
-    at = best[left[: len(best)] >= length]
-    at = at[np.concatenate([[True], at[1:] != at[:-1]])] if len(at) else at
-    return at, g[at]
+    start = np.flatnonzero(left[: len(best)] >= length)
+    if not len(start):
+        return np.zeros(0, np.uint64), none, none
+    best = best[start]
+    # leftmost minima never move back, so an anchor's windows are consecutive
+    new = np.flatnonzero(np.concatenate([[True], best[1:] != best[:-1]]))
+    last = np.concatenate([new[1:], [len(start)]]) - 1
+    return g[best[new]], start[new], start[last]
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -88,16 +93,16 @@ def anchor_table(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             starts, ends, first = words(*(bo := flat(part.column("text"))))
-            at, g = anchors(span_hash(bo[0], starts, ends), first, length, gram)
+            g, at, to = anchors(span_hash(bo[0], starts, ends), first, length, gram)
             row = segments(first)[at]
             take = pa.array(row)
-            yield pa.RecordBatch.from_arrays([pa.array(g.astype(np.int64)), part.column("ord").take(take), part.column("tag").take(take), pa.array((at - first[row]).astype(np.int32))], ["h", "ord", "tag", "pos"])
+            yield pa.RecordBatch.from_arrays([pa.array(g.astype(np.int64)), part.column("ord").take(take), part.column("tag").take(take), pa.array((at - first[row]).astype(np.int32)), pa.array((to + length - at).astype(np.int32))], ["h", "ord", "tag", "at", "n"])
 
-    return rows.select("ord", "tag", "text").transform(python_stage, run, "h bigint, ord bigint, tag bigint, pos int")
+    return rows.select("ord", "tag", "text").transform(python_stage, run, "h bigint, ord bigint, tag bigint, at int, n int")
 
 
-def contexts(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(h, ctx, ord, tag, at, n) of (ord, tag, text, pos, h): the words around each anchor that its windows can reach, joined by a space."""
+def contexts(rows: DataFrame) -> DataFrame:
+    """(h, ctx, ord, tag, at, n) of (ord, tag, text, anchors): the words of each anchor's windows, joined by a space."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["h", "ctx", "ord", "tag", "at", "n"]
@@ -106,10 +111,7 @@ def contexts(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFra
             out: list[tuple] = []
             for o, t, text, anchors_ in zip(part.column("ord").to_pylist(), part.column("tag").to_pylist(), texts(part.column("text")), part.column("anchors").to_pylist()):
                 w = text.encode("utf-8", "surrogatepass").split()
-                for x in anchors_:
-                    a, b = max(0, x["pos"] - (length - gram)), min(len(w), x["pos"] + length)
-                    if b - a >= length:
-                        out.append((x["h"], b" ".join(w[a:b]), o, t, a, b - a))
+                out += [(x["h"], b" ".join(w[x["at"] : x["at"] + x["n"]]), o, t, x["at"], x["n"]) for x in anchors_]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k if k != pa.string() else pa.binary()).cast(k) for c, k in zip(zip(*out), kinds)], names)
 
@@ -212,11 +214,11 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int
     rows = _rows(docs, id_col, text_col)
     table = materialize(anchor_table(rows, length, gram), "anchors")
     shared = table.groupBy("h").agg(F.min("ord").alias("lo"), F.max("ord").alias("hi")).filter("lo < hi").select("h")
-    places = table.join(shared, "h", "left_semi").groupBy("ord", "tag").agg(F.collect_list(F.struct("h", "pos")).alias("anchors"))
+    places = table.join(shared, "h", "left_semi").groupBy("ord", "tag").agg(F.collect_list(F.struct("h", "at", "n")).alias("anchors"))
     places = materialize(places, "anchor-places")
-    n, m = places.agg(F.count(F.lit(1)), F.sum(F.size("anchors"))).first()
-    found = rows.join(sized(places, n + (m or 0), 48), ["ord", "tag"])
-    ctx = materialize(contexts(found, length, gram).withColumn("cid", F.xxhash64("ctx")), "contexts")
+    release(table)
+    # places and spans grow with the corpus, so texts are always met by a shuffle
+    ctx = materialize(contexts(rows.join(places, ["ord", "tag"])).withColumn("cid", F.xxhash64("ctx")), "contexts")
     one = materialize(ctx.groupBy("h", "cid", "ctx").agg(F.min("ord").alias("low"), F.count(F.lit(1)).alias("copies")), "contexts-once")
     size = materialize(one.groupBy("h").agg(F.count(F.lit(1)).alias("k")).filter("k > 1"), "gram-sizes")
     in_groups = one.join(size.filter(F.col("k") <= group).select("h"), "h", "left_semi")
@@ -233,8 +235,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int
 
 def remove(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_words, n_removed, kept_text) from repeats(), materialised."""
-    n, m = spans.agg(F.count(F.lit(1)), F.sum(F.size("spans"))).first()
-    rows = _rows(docs, id_col, text_col).join(sized(spans, n + (m or 0), 48), ["ord", "tag"], "left").select("id", "text", "spans")
+    rows = _rows(docs, id_col, text_col).join(spans, ["ord", "tag"], "left").select("id", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
