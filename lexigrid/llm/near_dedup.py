@@ -162,10 +162,11 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     label = components(links)
     # keys of three or more classes that are not all in one component by now
     at = members.filter("n > 2").select("key", "id").join(label, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    mixed = at.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
-    at = materialize(at.join(mixed, "key", "left_semi"), "near-mixed")
-    other = at.withColumnsRenamed({"id": "b", "component": "cb"})
-    rest = at.join(other, "key").filter("component <> cb and id < b").select(F.col("id").alias("a"), "b").distinct()
+    parts = at.groupBy("key", "component").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.max(F.struct("m", "component"))["component"].alias("largest"), F.count(F.lit(1)).alias("k"))
+    at = materialize(at.join(parts.filter("k > 1").select("key", "largest"), "key"), "near-mixed")
+    # a pair across components has a member outside the key's largest one: those few meet the key's others
+    few = at.filter("component <> largest").select("key", F.col("id").alias("x"), F.col("component").alias("cx"))
+    rest = few.join(at.select("key", "id", "component"), "key").filter("component <> cx").select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
     rest = materialize(rest.join(first, ["a", "b"], "left_anti"), "near-rest")
     if rest.limit(1).count():
         more = materialize(confirm(materialize(near_enough(rest, real), "near-pairs"), docs, id_col, text_col), "near-links")
