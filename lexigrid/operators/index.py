@@ -78,7 +78,8 @@ class Index:
             if len(values) == 1:
                 return F.coalesce(F.array_contains(field, F.lit(values[0])), F.lit(False))
             return F.coalesce(F.exists(field, lambda x: within(x, *values)), F.lit(False))
-        return F.coalesce(F.col(field) == F.lit(values[0]) if len(values) == 1 else within(F.col(field), *values), F.lit(False))
+        # never null, and in a form that reaches the files
+        return F.col(field).eqNullSafe(F.lit(values[0])) if len(values) == 1 else F.col(field).isNotNull() & within(F.col(field), *values)
 
     def lookup(self, feature: Feature) -> DataFrame:
         """(doc_id) of the documents that have the feature."""
@@ -164,8 +165,8 @@ class Index:
 
 def within(x: Column, start, end) -> Column:
     """start <= x < end, either bound may be None."""
-    low = x >= F.lit(start) if start is not None else F.lit(True)
-    return low & (x < F.lit(end)) if end is not None else low
+    parts = ([x >= F.lit(start)] if start is not None else []) + ([x < F.lit(end)] if end is not None else [])
+    return parts[0] if len(parts) == 1 else parts[0] & parts[1]
 
 
 def prefix_range(field: str, prefix: str) -> Feature:
