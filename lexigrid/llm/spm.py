@@ -13,9 +13,12 @@ repeated rows and ids all stay; an empty table gives an empty result; other colu
 from __future__ import annotations
 
 import os
+import re
 import struct
 from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -114,13 +117,120 @@ def load(path: str = MODEL, threads: int = THREADS):
         return build(parse_model(f.read()))
 
 
+class Encoder:
+    """Encodes batches of texts by their units, each a run of markers with what follows.
+
+    Units never share a piece if no piece holds a marker behind another character, so a text's ids are its units' ids in a
+    row. Each unit that a task has not met is encoded once, by the library, in multithreaded batches, and decoded to see that it comes back.
+    Models without that property are encoded text by text."""
+
+    #: Units that are remembered before the table starts anew.
+    MEMORY = 300_000
+
+    def __init__(self, path: str = MODEL, threads: int = THREADS):
+        self.whole = load(path, threads)
+        with open(path, "rb") as f:
+            model = parse_model(f.read())
+        self.by_units = self.whole.pre_tokenizer is not None
+        self.plain = not model["charsmap"] and not model["strip"] and model["escape"]
+        self.prefix = model["dummy_prefix"]
+        self.core = build(model)
+        if self.by_units:
+            self.core.normalizer = None
+        # how a piece looks in a text; bytes of more than one to a character stay as they are, and are decoded
+        self.pieces = [chr(int(p[3:5], 16)) if k == BYTE and p < "<0x80>" else p for p, _, k in model["pieces"]]
+        self.pattern = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
+        self.reset()
+
+    def reset(self) -> None:
+        self.index: dict[str, int] = {}
+        self.ids = np.zeros(1 << 16, np.int32)
+        self.used = 0
+        self.start = self.size = np.zeros(0, np.int64)
+        self.back = np.zeros(0, bool)
+
+    def units(self, text: str) -> list[str]:
+        if not text:
+            return []
+        if self.plain:
+            text = (MARK if self.prefix else "") + text.replace(" ", MARK)
+        else:
+            text = self.whole.normalizer.normalize_str(text) if self.whole.normalizer else text
+        parts = text.split(MARK)
+        if "" not in parts[1:] and not parts[0]:
+            return parts[1:]  # each stands for itself behind one marker
+        return [u[1:] if u[:1] == MARK and u[1:2] != MARK and len(u) > 1 else "\0" + u for u in self.pattern.findall(text)]
+
+    def learn(self, new: list[str]) -> None:
+        """Ids of units: most are encoded in long strings, which the library splits at the same places, some one by one."""
+        full = [u[1:] if u[0] == "\0" else MARK + u for u in new]
+        joined = [i for i, f in enumerate(full) if f[0] == MARK and f[-1] != MARK]
+        parts = [joined[at : at + 1000] for at in range(0, len(joined), 1000)]
+        single = [i for i, f in enumerate(full) if f[0] != MARK or f[-1] == MARK]
+        size = np.zeros(len(new), np.int64)
+        made: list[np.ndarray] = []
+        order: list[int] = []
+        for part, e in zip(parts, self.core.encode_batch(["".join(map(full.__getitem__, p)) for p in parts], add_special_tokens=False)):
+            size[part] = np.bincount(np.array(e.word_ids, np.int64), minlength=len(part))
+            made.append(np.array(e.ids, np.int32))
+            order += part
+        for i, e in zip(single, self.core.encode_batch_fast([full[i] for i in single], add_special_tokens=False)):
+            size[i] = len(e.ids)
+            made.append(np.array(e.ids, np.int32))
+            order.append(i)
+        ids = np.concatenate(made)
+        size = size[order]
+        end = np.cumsum(size)
+        text = list(map(self.pieces.__getitem__, ids.tolist()))
+        back = np.ones(len(order), bool)
+        for at in range(0, len(order), 50):  # compared in blocks, and one by one where a block differs
+            block = order[at : at + 50]
+            if "".join(text[end[at] - size[at] : end[at + len(block) - 1]]) != "".join(map(full.__getitem__, block)):
+                for k, i in enumerate(block, at):
+                    back[k] = self.core.decode(ids[end[k] - size[k] : end[k]].tolist(), skip_special_tokens=False) == self.shown(full[i])
+        base = len(self.index)
+        self.index.update(zip(map(new.__getitem__, order), range(base, base + len(order))))
+        self.start = np.concatenate([self.start, self.used + end - size])
+        self.size = np.concatenate([self.size, size])
+        self.back = np.concatenate([self.back, back])
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+
+    def shown(self, unit: str) -> str:
+        text = unit.replace(MARK, " ")
+        return text[1:] if self.prefix and text[:1] == " " else text
+
+    def batch(self, body: list[str]) -> tuple[np.ndarray, np.ndarray, list[bool]]:
+        """(all ids, offsets of the texts in them, whether each text decodes to itself)."""
+        if not self.by_units:
+            ids = [e.ids for e in self.whole.encode_batch_fast(body, add_special_tokens=False)]
+            back = self.whole.decode_batch(ids, skip_special_tokens=False)
+            off = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int64)
+            return np.array([x for i in ids for x in i], np.int32), off, [a == b.replace(MARK, " ") for a, b in zip(back, body)]
+        if len(self.index) > self.MEMORY:
+            self.reset()
+        units = [self.units(t) for t in body]
+        known = self.index
+        if new := [u for u in dict.fromkeys(chain.from_iterable(units)) if u not in known]:
+            self.learn(new)
+        at = np.array(list(map(known.__getitem__, chain.from_iterable(units))), np.int64)
+        first = np.concatenate([[0], np.cumsum([len(us) for us in units])]).astype(np.int64)
+        size, start = self.size[at], self.start[at]
+        end = np.concatenate([[0], np.cumsum(size)])
+        ids = self.ids[np.arange(end[-1]) + np.repeat(start - end[:-1], size)]
+        bad = np.concatenate([[0], np.cumsum(~self.back[at])])
+        return ids, end[first], (bad[first[1:]] == bad[first[:-1]]).tolist()
+
+
 def encode(docs: DataFrame, path: str = MODEL, verify: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids, n_chars, decoded_same, parity): token ids of every whole text; whether decoding them gives the text again
-    (up to the model's normaliser), and whether the sentencepiece library has the same ids (null if not verified)."""
+    (a marker counts as a space), and whether the sentencepiece library has the same ids (null if not verified)."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = load(path)
+        t = Encoder(path)
         other = None
         if verify:
             import sentencepiece
@@ -128,11 +238,10 @@ def encode(docs: DataFrame, path: str = MODEL, verify: bool = True, id_col: str
             other = sentencepiece.SentencePieceProcessor(model_file=path)
         for part in slices(batches, "text", 1 << 20):
             body = texts(part.column("text"))
-            ids = [e.ids for e in t.encode_batch_fast(body, add_special_tokens=False)]
-            back = t.decode_batch(ids, skip_special_tokens=False)
-            same = [a == b or a == b.replace(MARK, " ") for a, b in zip(back, body)]
-            parity = [a == b for a, b in zip(other.encode(body, num_threads=1), ids)] if other else [None] * len(ids)
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(ids, pa.list_(pa.int32())), pa.array(map(len, body), pa.int64()), pa.array(same, pa.bool_()), pa.array(parity, pa.bool_())], ["id", "ids", "n_chars", "decoded_same", "parity"])
+            ids, off, same = t.batch(body)
+            parity = [np.array_equal(np.array(x, np.int32), ids[a:b]) for x, a, b in zip(other.encode(body, num_threads=1), off[:-1], off[1:])] if other else [None] * len(body)
+            lists = pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(ids))
+            yield pa.RecordBatch.from_arrays([part.column("id"), lists, pa.array(map(len, body), pa.int64()), pa.array(same, pa.bool_()), pa.array(parity, pa.bool_())], ["id", "ids", "n_chars", "decoded_same", "parity"])
 
     return rows.transform(python_stage, run, f"id {rows.schema['id'].dataType.simpleString()}, ids array<int>, n_chars bigint, decoded_same boolean, parity boolean")
 

@@ -186,7 +186,12 @@ def test_pii_query(spark, folder, docs, empty):
     assert not got[6]["spans"]
     red = {r["id"]: r["text"] for r in pii.redact(df).collect()}
     assert red[0] == "write to [email], or call [phone]." and red[4] is None and red[6] == texts[6]
-    assert pii.op8_pii(spark, folder).count() == docs.count()
+    query = {r["doc_id"]: r for r in pii.op8_pii(spark, folder).collect()}
+    assert len(query) == docs.count()
+    for d, t in docs.select("doc_id", "text").collect():
+        found = naive_base(t or "")
+        assert [query[d][f"n_{k}"] for k in pii.BASE] == [sum(x[2] == k for x in found) for k in pii.BASE]
+        assert query[d]["base_sha256"] == hashlib.sha256(",".join(f"{k}:{s}:{e}" for s, e, k in found).encode()).hexdigest()
     assert pii.find(empty).count() == 0
 
 
@@ -272,6 +277,12 @@ def test_spm_parity(spark, docs, rows, empty):
     bits = ["a", " ", "  ", "the", "é", "\n", "語", "▁", "<s>", "</s>", "<0x41>", "ing", ".", "😀", "0", "\t", "token"]
     texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(20))) for _ in range(3000)] + [" " * n + "x" for n in range(40)] + ["x" + " " * n + "y" for n in range(40)]
     assert [e.ids for e in t.encode_batch(texts, add_special_tokens=False)] == sp.encode(texts)
+    e = spm.Encoder()
+    assert e.by_units and e.plain
+    for _ in range(2):
+        ids, off, same = e.batch(texts)
+        assert [ids[a:b].tolist() for a, b in zip(off[:-1], off[1:])] == sp.encode(texts) and all(same)
+        e.by_units = False  # text by text, too
     got = {r["id"]: r for r in spm.encode(docs).collect()}
     assert len(got) == len(rows)
     for d, x, *_ in rows:
