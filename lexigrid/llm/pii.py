@@ -237,16 +237,6 @@ def labelled(n: int = 600, seed: int = 7) -> list[tuple[list[str], list[str]]]:
     return table
 
 
-def _emissions(x: np.ndarray, row: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Score of each label at each token from its own features and its neighbours' in the same row."""
-    own, before, after = (x @ w for w in weights)
-    e = own.copy()
-    same = (row[1:] == row[:-1])[:, None]
-    e[1:] += before[:-1] * same
-    e[:-1] += after[1:] * same
-    return e
-
-
 def _logsum(a: np.ndarray, axis: int) -> np.ndarray:
     m = a.max(axis, keepdims=True)
     return np.squeeze(m, axis) + np.log(np.exp(a - m).sum(axis))
@@ -261,7 +251,8 @@ def train(steps: int = 150, rate: float = 0.1, ridge: float = 2e-4, seed: int =
     off[-1] = len(buf)
     starts, ends, first = words(buf, off)
     row, code = segments(first), shapes(buf, starts, ends)
-    x, free = feature_matrix(code).astype(np.float64), open_tokens(code, row)
+    codes, which = np.unique(code, return_inverse=True)  # few shapes: products are made for each shape once
+    x, free = feature_matrix(codes).astype(np.float64), open_tokens(code, row)
     y = np.array([LABELS.index(k) for _, ys in table for k in ys])
     n, size, k = len(table), int(np.diff(first).max()), len(LABELS)
     col = np.arange(len(row)) - first[row]
@@ -277,10 +268,18 @@ def train(steps: int = 150, rate: float = 0.1, ridge: float = 2e-4, seed: int =
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in params]
     shut = np.zeros((len(y), k))
     shut[~free, 1:] = -1e4
+    same = (row[1:] == row[:-1])[:, None]
+
+    def by_shape(shape: np.ndarray, d: np.ndarray) -> np.ndarray:
+        return np.stack([np.bincount(shape, d[:, j], minlength=len(codes)) for j in range(k)], 1)
+
     for step in range(1, steps + 1):
         w, tr = params
         e = np.zeros((n, size, k))
-        e[row, col] = _emissions(x, row, w) + shut
+        own, before, after = ((x @ v)[which] for v in w)
+        own[1:] += before[:-1] * same
+        own[:-1] += after[1:] * same
+        e[row, col] = own + shut
         f = np.zeros((n, size, k))
         f[:, 0] = e[:, 0]
         for t in range(1, size):
@@ -295,8 +294,7 @@ def train(steps: int = 150, rate: float = 0.1, ridge: float = 2e-4, seed: int =
             b[:, t] = np.where(real[:, t + 1, None], _logsum(tr + m[:, None, :], 2), 0)
         p = np.exp(f + b - z[:, None, None])[row, col]
         d = gold - p
-        same = (row[1:] == row[:-1])[:, None]
-        g = np.stack([x.T @ d, x[:-1].T @ (d[1:] * same), x[1:].T @ (d[:-1] * same)])
+        g = np.stack([x.T @ by_shape(which, d), x.T @ by_shape(which[:-1], d[1:] * same), x.T @ by_shape(which[1:], d[:-1] * same)])
         for i, grad in enumerate((g / n - ridge * w, (trans_gold - pair) / n - ridge * tr)):
             moments[i][0] = 0.9 * moments[i][0] + 0.1 * grad
             moments[i][1] = 0.99 * moments[i][1] + 0.01 * grad**2
