@@ -12,6 +12,7 @@ from lexigrid.operators.index import Index, cumulative, documents_spec, prefix_r
 from lexigrid.operators.query import AndNot, MatchAll, MatchAny, MatchPhrase, clause_query
 from lexigrid.sources import tables as S
 from lexigrid.spec import RANGE, SCALAR, CorpusSpec, FieldSpec, spec_of
+from lexigrid.storage import materialize, spread
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -39,7 +40,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf: str) -> Index:
-    return Index.build(table(spark, sf, "documents"), documents_spec())
+    return Index.build(spread(table(spark, sf, "documents")), documents_spec())
 
 
 # --- tokens and features -----------------------------------------------------------------------------------------------
@@ -374,8 +375,6 @@ def _clusters(spark, sf):
 
 def _kept(spark, sf):
     """The same as tables written once: what follows reads the members many times."""
-    from lexigrid.storage import materialize
-
     i, members, state = _clusters(spark, sf)
     state = materialize(state, "clusters")
     return i, materialize(i.membership("text").join(state.select(*C.FEATURE), C.FEATURE, "left_semi"), "members"), state

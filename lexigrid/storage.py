@@ -65,3 +65,9 @@ atexit.register(discard)
 def sized(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     """Mark ``df`` for broadcast if ``rows * row_bytes`` is small; otherwise leave it to a shuffled join."""
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt over all cores if the input has fewer partitions than there are cores, as with one small file; else as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
