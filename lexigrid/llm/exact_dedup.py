@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexigrid.storage import materialize, sized
+from lexigrid.storage import materialize, sized, spread
 
 #: Salts for a digest that is hot, and the share of rows from which it counts as such; at most 1 / HOT_SHARE digests do.
 SALTS = 32
@@ -61,7 +61,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def op5_exact_dedup(spark, sf_dir: str) -> DataFrame:
-    found = exact_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    found = exact_dedup(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")))
     return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from lexigrid.functions.ranges import quantile_cuts, range_of
 from lexigrid.llm.textkit import python_stage, mix, slices, texts
+from lexigrid.storage import spread
 
 WIDTH, K = 8, 128
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -169,4 +170,4 @@ def compare_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def op2_fingerprint(spark, sf_dir: str) -> DataFrame:
-    return compare_neighbours(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return compare_neighbours(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")))

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexigrid.llm.textkit import python_stage, slices, texts
+from lexigrid.storage import spread
 
 LETTERS = re.compile(r"[^\W\d_]+")
 ORDERS = (5, 4, 3, 2, 1)
@@ -163,7 +164,7 @@ def sample(docs: DataFrame, per_lang: int = SAMPLE_DOCS, id_col: str = "doc_id")
 
 
 def op1_langid(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 0
     model = fit(sample(docs.filter(~held)))
     got = identify(docs, model).withColumnRenamed("id", "doc_id")

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexigrid.storage import materialize, sized
+from lexigrid.storage import materialize, sized, spread
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -73,7 +73,7 @@ def mix(slim: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP)
 
 
 def op3_mixing(spark, sf_dir: str) -> DataFrame:
-    slim = materialize(sizes(spark.read.parquet(f"{sf_dir}/documents.parquet")), "mix-sizes")
+    slim = materialize(sizes(spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))), "mix-sizes")
     return mix(slim).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from lexigrid.llm.components import components
 from lexigrid.llm.textkit import LOWER, flat, mix, python_stage, slices, span_hash, texts, words
-from lexigrid.storage import materialize, sized
+from lexigrid.storage import materialize, sized, spread
 
 CHUNKS, CHUNK_SLOTS, CHUNK_ERRORS = 14, 5, 1
 SLOTS = CHUNKS * CHUNK_SLOTS
@@ -179,7 +179,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def op6_near_dedup(spark, sf_dir: str) -> DataFrame:
-    return near_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet")).withColumnRenamed("id", "doc_id")
+    return near_dedup(spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))).withColumnRenamed("id", "doc_id")
 
 
 OP6_SQL = r"""

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexigrid.llm.textkit import LOWER, flat, python_stage, segments, slices, span_hash, words
+from lexigrid.storage import spread
 
 KINDS = ("email", "ip", "card", "phone", "id")
 BASE = KINDS[:4]
@@ -431,7 +432,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def op8_pii(spark, sf_dir: str) -> DataFrame:
-    got = find(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    got = find(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")))
     line = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     n = [count(k) for k in BASE]

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexigrid.llm.textkit import python_stage, SPACE, flat, segments, slices, span_hash, words
-from lexigrid.storage import materialize
+from lexigrid.storage import materialize, spread
 
 NAMES = ("bytes", "words", "word_len", "word_len_sd", "distinct_words", "lines", "distinct_lines", "line_len", "upper", "digit", "stop_marks", "shout_marks", "symbols", "pipes", "other_marks", "not_ascii", "space", "caps_words", "symbol_ends", "one_letter")
 SHRINK, RIDGE, THRESHOLD = 0.15, 0.02, 0.7
@@ -177,5 +177,5 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
 
 
 def op7_quality(spark, sf_dir: str) -> DataFrame:
-    got = classify(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    got = classify(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return got.withColumnRenamed("id", "doc_id")

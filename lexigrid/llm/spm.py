@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexigrid.llm.textkit import python_stage, slices, texts
+from lexigrid.storage import spread
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 THREADS = 2
@@ -261,5 +262,5 @@ def decode(rows: DataFrame, path: str = MODEL, id_col: str = "id", ids_col: str
 
 
 def op4_sentencepiece(spark, sf_dir: str) -> DataFrame:
-    got = encode(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    got = encode(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")))
     return got.select(F.col("id").alias("doc_id"), "n_chars", F.size("ids").cast("long").alias("n_tokens"), "decoded_same", "parity", "ids")

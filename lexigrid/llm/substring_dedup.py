@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexigrid.llm.textkit import flat, mix, python_stage, segments, slices, span_hash, texts, words
-from lexigrid.storage import materialize, release
+from lexigrid.storage import materialize, release, spread
 
 LENGTH, GRAM = 50, 12
 #: Contexts that one group of subtrees holds, and from which a single gram is too large for one.
@@ -260,7 +260,7 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, gro
 
 
 def op10_substring_dedup(spark, sf_dir: str) -> DataFrame:
-    got = substring_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    got = substring_dedup(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")))
     return got.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
