@@ -160,11 +160,12 @@ class Encoder:
         parts = text.split(MARK)
         if "" not in parts[1:] and not parts[0]:
             return parts[1:]  # each stands for itself behind one marker
-        return [u[1:] if u[:1] == MARK and u[1:2] != MARK and len(u) > 1 else "\0" + u for u in self.pattern.findall(text)]
+        # any other unit has one marker more in front: no key of the first kind holds a marker, so the two never meet
+        return [u[1:] if u[:1] == MARK and u[1:2] != MARK and len(u) > 1 else MARK + u for u in self.pattern.findall(text)]
 
     def learn(self, new: list[str]) -> None:
         """Ids of units: most are encoded in long strings, which the library splits at the same places, some one by one."""
-        full = [u[1:] if u[0] == "\0" else MARK + u for u in new]
+        full = [u[1:] if u[0] == MARK else MARK + u for u in new]
         joined = [i for i, f in enumerate(full) if f[0] == MARK and f[-1] != MARK]
         parts = [joined[at : at + 1000] for at in range(0, len(joined), 1000)]
         single = [i for i, f in enumerate(full) if f[0] != MARK or f[-1] == MARK]

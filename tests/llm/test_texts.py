@@ -292,6 +292,21 @@ def test_spm_parity(spark, docs, rows, empty):
     assert spm.encode(empty).count() == 0
 
 
+def test_spm_words_of_nul():
+    """A word may start with U+0000, or be nothing else; markers and such words in all orders keep their ids."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=spm.MODEL)
+    rng = random.Random(11)
+    bits = ["\0", "\0", " ", "  ", "a", "▁", "b", "\1", "é"]
+    texts = ["a \0b", " \0b", " \0 ", "\0", "\0\0", "\0b", "a b", "b", "  \0b", "\0▁b", "▁\0"] + ["".join(rng.choice(bits) for _ in range(rng.randrange(12))) for _ in range(3000)]
+    e = spm.Encoder()
+    for body in (texts, texts[::-1]):
+        ids, off, same = e.batch(body)
+        assert [ids[a:b].tolist() for a, b in zip(off[:-1], off[1:])] == sp.encode(body) and all(same)
+    assert spm.Encoder().batch(["a \0b"])[0].tolist() == [264, 28705, 3, 28726]
+
+
 def test_spm_unigram_model():
     """A hand-made unigram model: same ids as the sentencepiece library."""
     import struct
