@@ -13,9 +13,9 @@ key is lost, while a group of any number of near copies gives as many pairs as m
 Before its texts are compared a pair must be within WIDEST slots, which a pair at the threshold misses once in ten million.
 
 Defined cases: words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; null or blank texts have no shingles, link with
-nothing and are their own component; fewer words than a shingle are one shingle; a document with a null id is linked and has
-a component, but none is named after it (null if nothing else is there); rows with equal ids are one node; an empty table gives
-an empty result; other columns are ignored.
+nothing and are their own component; fewer words than a shingle are one shingle; a document with a null id is linked, by a hash
+of its text in place of the id, and has a component, but none is named after it (null if nothing else is there); rows with equal
+ids are one node; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexigrid.llm.components import components
@@ -65,9 +65,14 @@ def signature(s: np.ndarray) -> bytes:
     return ((low * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype(np.uint16).tobytes()
 
 
+def node(id_col: str, text_col: str) -> Column:
+    """The document's id, or a hash of its text if that is null."""
+    return F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text_col))
+
+
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, s1, s2, sig): set size, 128 bits that name the set, signature (null for an empty set)."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    """(id, node, n_shingles, s1, s2, sig): set size, 128 bits that name the set, signature (null for an empty set)."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), node(id_col, text_col).alias("node"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
@@ -82,9 +87,9 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 s1.append(int(s.sum(dtype=np.uint64).astype(np.int64)))
                 s2.append(int(mix(s).sum(dtype=np.uint64).astype(np.int64)))
                 sig.append(signature(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(sig, pa.binary())], ["id", "n_shingles", "s1", "s2", "sig"])
+            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("node"), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(sig, pa.binary())], ["id", "node", "n_shingles", "s1", "s2", "sig"])
 
-    return rows.transform(python_stage, run, "id bigint, n_shingles bigint, s1 bigint, s2 bigint, sig binary")
+    return rows.transform(python_stage, run, "id bigint, node bigint, n_shingles bigint, s1 bigint, s2 bigint, sig binary")
 
 
 def keys(classes: DataFrame) -> DataFrame:
@@ -131,7 +136,7 @@ def _set(text: str) -> frozenset:
 def confirm(pairs: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The pairs (a, b) that are alike enough on their full sets of shingles."""
     wanted = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "near-ids")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(node(id_col, text_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     body = materialize(rows.join(sized(wanted, wanted.count(), 48), "id", "left_semi"), "near-texts")
     # the second text is looked up for runs of rows with one first text, whose set is then made once
     both = pairs.join(body.withColumnsRenamed({"id": "a", "text": "x"}), "a").join(body.withColumnsRenamed({"id": "b", "text": "y"}), "b")
@@ -152,13 +157,12 @@ def confirm(pairs: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col:
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept) of every document."""
     sigs = materialize(signatures(docs, id_col, text_col), "signatures")
-    classes = materialize(sigs.filter("n_shingles > 0").groupBy("s1", "s2", "n_shingles", "sig").agg(F.min("id").alias("id")), "near-classes")
-    real = classes.filter(F.col("id").isNotNull())
-    k = keys(real)
+    classes = materialize(sigs.filter("n_shingles > 0").groupBy("s1", "s2", "n_shingles", "sig").agg(F.coalesce(F.min("id"), F.min("node")).alias("id"), F.min("id").alias("real")), "near-classes")
+    k = keys(classes)
     buckets = materialize(k.groupBy("key").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "near-buckets")
     members = materialize(k.join(buckets, "key"), "near-members")
     first = materialize(members.filter("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct(), "near-pairs")
-    links = materialize(confirm(materialize(near_enough(first, real), "near-pairs"), docs, id_col, text_col), "near-links")
+    links = materialize(confirm(materialize(near_enough(first, classes), "near-pairs"), docs, id_col, text_col), "near-links")
     label = components(links)
     # keys of three or more classes that are not all in one component by now
     at = members.filter("n > 2").select("key", "id").join(label, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
@@ -169,9 +173,12 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rest = few.join(at.select("key", "id", "component"), "key").filter("component <> cx").select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
     rest = materialize(rest.join(first, ["a", "b"], "left_anti"), "near-rest")
     if rest.limit(1).count():
-        more = materialize(confirm(materialize(near_enough(rest, real), "near-pairs"), docs, id_col, text_col), "near-links")
+        more = materialize(confirm(materialize(near_enough(rest, classes), "near-pairs"), docs, id_col, text_col), "near-links")
         label = components(links.union(more))
-    by_class = classes.join(label, "id", "left").select("s1", "s2", F.col("n_shingles").alias("n"), F.coalesce("component", "id").alias("component_id"), F.col("id").alias("class_id"))
+    by_class = classes.join(label, "id", "left").select("s1", "s2", F.col("n_shingles").alias("n"), F.coalesce("component", "id").alias("component_id"), "real")
+    if classes.filter("real is null").limit(1).count():  # a component may be labelled by a hash: it is named after its least real id
+        names = by_class.groupBy("component_id").agg(F.min("real").alias("name"))
+        by_class = by_class.join(names, "component_id").select("s1", "s2", "n", F.col("name").alias("component_id"))
     out = sigs.join(by_class, (sigs["s1"] == by_class["s1"]) & (sigs["s2"] == by_class["s2"]) & (sigs["n_shingles"] == by_class["n"]), "left")
     comp = F.when(F.col("n_shingles") == 0, F.col("id")).otherwise(F.col("component_id"))
     out = out.select(sigs["id"], "n_shingles", comp.alias("component_id"))

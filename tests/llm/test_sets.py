@@ -182,3 +182,14 @@ def test_null_ids(spark):
     got = sorted((r["id"] or -1, r["n_removed"]) for r in substring_dedup.substring_dedup(df).collect())
     assert got == [(-1, 60), (-1, 60), (5, 0), (9, 60)]
     assert {(r["id"], r["component_id"], r["kept"]) for r in near_dedup.near_dedup(df).collect()} == {(None, 5, False), (5, 5, True), (9, 5, False)}
+
+
+def test_near_dedup_links_through_null_ids(spark):
+    """A row without an id links others as any row does, but no component is named after it."""
+    w = [f"w{k}" for k in range(100)]
+    near, middle, far = w, w[:90] + [f"x{k}" for k in range(10)], w[:80] + [f"y{k}" for k in range(10)] + [f"x{k}" for k in range(10)]
+    alone = [f"z{k}" for k in range(50)]
+    rows = [(7, near), (None, middle), (3, far), (None, alone), (None, alone[:-1]), (8, w[50:] + alone)]
+    df = spark.createDataFrame([(d, " ".join(x)) for d, x in rows], "doc_id bigint, text string")
+    got = sorted(((r["id"], r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup.near_dedup(df).collect()), key=str)
+    assert got == sorted([(7, 99, 3, False), (None, 99, 3, False), (3, 99, 3, True), (None, 49, None, True), (None, 48, None, True), (8, 99, 8, True)], key=str)
