@@ -6,7 +6,8 @@ a word with none known says nothing. The text's score is the sum over its words;
 of the best language.
 
 Learning reads a bounded sample of labelled rows: at most ``sample_docs`` documents a language in expectation, taken by
-a hash of id; tables hold the ``max_words`` and ``max_grams`` most frequent entries. Prediction reads every whole text.
+a hash of id; tables hold each language's ``max_words`` most frequent words and, of each length, ``max_grams`` most frequent
+n-grams, with their counts in all languages. Prediction reads every whole text.
 
 Defined cases: null text or a text without a letter is ``und`` with score 0; rows without a lang are never learned
 from; with no learned language at all every text is ``und``; ties go to the first language in code-point order; a null id
@@ -21,11 +22,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexigrid.llm.textkit import python_stage, slices, texts
-from lexigrid.storage import spread
+from lexigrid.storage import materialize, spread
 
 LETTERS = re.compile(r"[^\W\d_]+")
 ORDERS = (5, 4, 3, 2, 1)
@@ -64,23 +65,25 @@ def count_table(train: DataFrame) -> DataFrame:
 
 
 def fit(train: DataFrame, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> dict:
-    """Model from (text, lang): languages and log frequencies of the most frequent words and n-grams."""
-    table = count_table(train).groupBy("kind", "entry").agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
-    word = table.filter("kind = 0").orderBy(F.desc("all"), "entry").limit(max_words)
-    gram = table.filter("kind > 0").orderBy(F.desc("all"), "kind", "entry").limit(max_grams)
-    rows = word.unionByName(gram).collect()  # at most max_words + max_grams entries
-    langs = sorted({x for r in rows for x in r["by"]})
+    """Model from (text, lang): languages and log frequencies of each one's most frequent words and n-grams."""
+    table = materialize(count_table(train), "langid-counts")
+    rank = F.row_number().over(Window.partitionBy("kind", "lang").orderBy(F.desc("n"), "entry"))
+    top = table.withColumn("rank", rank).filter(F.col("rank") <= F.when(F.col("kind") == 0, max_words).otherwise(max_grams))
+    got = table.join(top.select("kind", "entry").distinct(), ["kind", "entry"]).orderBy("kind", "entry", "lang")
+    got = got.select("kind", "entry", "lang", "n").toArrow()  # at most max_words + 5 max_grams entries a language, with a count for each
+    langs = sorted(set(got["lang"].to_pylist()))
     at = {x: i for i, x in enumerate(langs)}
     entries: dict[int, dict[str, int]] = {}
-    counts = []
-    for r in sorted(rows, key=lambda r: (r["kind"], r["entry"])):
-        entries.setdefault(r["kind"], {})[r["entry"]] = len(counts)
-        v = [0.0] * len(langs)
-        for x, c in r["by"].items():
-            v[at[x]] = c
-        counts.append((r["kind"], v))
-    table_ = np.array([v for _, v in counts]).reshape(len(counts), len(langs))
-    kinds = np.array([k for k, _ in counts], int)
+    row, kinds_ = [], []
+    for kind, entry in zip(got["kind"].to_pylist(), got["entry"].to_pylist()):
+        own_ = entries.setdefault(kind, {})
+        if entry not in own_:
+            own_[entry] = len(kinds_)
+            kinds_.append(kind)
+        row.append(own_[entry])
+    table_ = np.zeros((len(kinds_), len(langs)))
+    table_[np.array(row, int), np.array([at[x] for x in got["lang"].to_pylist()], int)] = got["n"].to_numpy()
+    kinds = np.array(kinds_, int)
     for k in set(kinds):
         own = kinds == k
         total = table_[own].sum(0) + SMOOTH * own.sum()
@@ -139,14 +142,14 @@ def predict(texts_: list[str], model: dict, lookup: Lookup) -> tuple[list[str],
 
 
 def identify(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, lang_pred, score) of every whole text; the model is broadcast, bounded by its two table sizes."""
+    """(id, lang_pred, score) of every whole text; the model is broadcast, bounded by its table sizes a language."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup = Lookup(shared.value)
         for part in slices(batches, "text"):
-            if len(lookup) > MEMORY + MAX_WORDS:
+            if len(lookup) > MEMORY + len(shared.value["entries"].get(0, ())):
                 lookup = Lookup(shared.value)
             lang, score = predict(texts(part.column("text")), shared.value, lookup)
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["id", "lang_pred", "score"])

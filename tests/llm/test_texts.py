@@ -268,6 +268,16 @@ def test_templates():
 # --- tokeniser ---------------------------------------------------------------------------------------------------------
 
 
+def test_langid_keeps_a_small_language(spark):
+    """Each language has its own words and n-grams of each length, however large another one is."""
+    big = [(" ".join(f"{a}{b}{c}" for a in "abcdefgh" for b in "aeiou" for c in "klmnp") + " ", "xx")] * 20
+    model = langid.fit(spark.createDataFrame([*big, ("zorvut zorvut qwyv", "yy"), (None, "xx")], "text string, lang string"), 50, 50)
+    assert model["langs"] == ["xx", "yy"]
+    assert {"zorvut", "qwyv"} <= set(model["entries"][0]) and len(model["entries"][0]) == 52
+    assert "zorvu" in model["entries"][5] and all(50 <= len(model["entries"][n]) <= 100 for n in (2, 3, 4, 5))
+    assert langid.predict(["zorvut", "zorvuten"], model, langid.Lookup(model))[0] == ["yy", "yy"]
+
+
 def test_spm_parity(spark, docs, rows, empty):
     import sentencepiece
 
