@@ -114,15 +114,21 @@ FEATURES = [f"{k}>={b}" for k, v in _BINS.items() for b in v] + [f"{k}=0" for k
 
 
 def shapes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit code of each token's shape, from which its features follow. Counts above 255 of a long token are cut there."""
+    """A 64-bit code of each token's shape, from which its features follow."""
     code, shift = np.zeros(len(starts), np.int64), 0
     length = ends - starts
+    # packed counters of a token of over 255 bytes may run over into each other: its classes are counted one by one
+    long = np.flatnonzero(length > 255)
+    first_byte = np.cumsum(length[long]) - length[long]
+    body = buf[np.repeat(starts[long] - first_byte, length[long]) + np.arange(length[long].sum())]
     for group, table in zip(_FIELDS, _COUNTERS):
         total = np.zeros(len(buf) + 1, np.uint64)
         np.cumsum(table[buf], out=total[1:])
         packed = total[ends] - total[starts]
         for k, name in enumerate(group):
             n = (packed >> np.uint64(8 * k)).astype(np.int64) & 255
+            if len(long):
+                n[long] = np.add.reduceat((table[body] >> np.uint64(8 * k)).astype(np.int64) & 255, first_byte)
             code |= np.searchsorted(_BINS[name], n, "right") << shift
             shift += _WIDTHS[name]
     first, last = buf[starts], buf[ends - 1]
@@ -137,8 +143,6 @@ def shapes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(_CUE_HASH, h), len(_CUE_HASH) - 1)
         code[maybe] |= np.where(_CUE_HASH[at] == h, _CUE_KIND[at], 0) << shift
     shift += 3
-    # mixed counters of a token of over 255 bytes may run over into each other: give it one fixed, unlabelled shape
-    code[length > 255] = 0
     return code
 
 

@@ -173,6 +173,23 @@ def test_base_patterns_against_plain_regexes():
     assert len(pii.base_spans("a" * 200_000 + "@x " + "1" * 200_000)) == 0
 
 
+def test_pii_shape_of_long_tokens():
+    """A token of over 255 bytes has the shape that its bytes give, wherever it stands."""
+    rng = random.Random(12)
+    chars = [c for group in pii._FIELDS for chars in group.values() for c in chars]
+    words = [bytes(rng.choices(chars, k=n)) for n in (1, 3, 255, 256, 257, 300, 5000, 9)] + [b"a" * 256, b"1" * 512, b"@" + b"a" * 300 + b".", b"+" * 255]
+    buf = np.frombuffer(b" ".join(words), np.uint8)
+    starts, ends, _ = textkit.words(buf, np.array([0, len(buf)]))
+    code, shift = pii.shapes(buf, starts, ends), 0
+    assert len(code) == len(words)
+    for group in pii._FIELDS:
+        for name, chars in group.items():
+            level = (code >> shift) & ((1 << pii._WIDTHS[name]) - 1)
+            n = [sum(c in chars for c in w) for w in words]
+            assert level.tolist() == np.searchsorted(pii._BINS[name], n, "right").tolist(), name
+            shift += pii._WIDTHS[name]
+
+
 def test_pii_query(spark, folder, docs, empty):
     texts = ["write to joan.smith@mail.example.com, or call +1 (555) 555-1234.", "address 10.20.30.40 and card 4111 1111 1111 1111!", "reach lena [at] kontor [dot] com today", "dial (555) 123-4567 now", None, "", "plain words only, 42 of them in 1999", "é 4111111111111111"]
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id bigint, text string, spans string")
