@@ -62,9 +62,14 @@ def discard() -> None:
 atexit.register(discard)
 
 
+def small(rows: int, row_bytes: int) -> bool:
+    """Whether a table of so many rows may be broadcast."""
+    return rows * row_bytes <= BROADCAST_BYTES
+
+
 def sized(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     """Mark ``df`` for broadcast if ``rows * row_bytes`` is small; otherwise leave it to a shuffled join."""
-    return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
+    return F.broadcast(df) if small(rows, row_bytes) else df
 
 
 def spread(df: DataFrame) -> DataFrame:
