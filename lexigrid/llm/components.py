@@ -19,8 +19,8 @@ def components(edges: DataFrame, driver_edges: int = DRIVER_EDGES) -> DataFrame:
     and its least label is taken by partial aggregation.
     """
     spark = edges.sparkSession
-    if len(edges.take(driver_edges + 1)) <= driver_edges if driver_edges else False:
-        pairs = edges.select("a", "b").toPandas()
+    pairs = edges.select("a", "b").limit(driver_edges + 1).toPandas() if driver_edges else None
+    if pairs is not None and len(pairs) <= driver_edges:
         up: dict[int, int] = {}
 
         def root(x: int) -> int:

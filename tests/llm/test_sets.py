@@ -5,7 +5,9 @@ import re
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
+from lexigrid import storage
 from lexigrid.llm import components, exact_dedup, mixing, near_dedup, substring_dedup
 
 W = re.compile(r"[^\x20\x09-\x0D]+")
@@ -61,13 +63,42 @@ def test_exact_dedup(docs, rows, empty):
     assert exact_dedup.exact_dedup(empty).count() == 0
 
 
-def test_exact_dedup_hot_group(spark, monkeypatch):
-    monkeypatch.setattr(exact_dedup, "HOT_ROWS", 10)
+@pytest.mark.parametrize("limit", [24 << 20, 0])
+def test_exact_dedup_hot_group(spark, monkeypatch, limit):
+    """A text in two thirds of the rows, with a broadcast of the repeated digests and without."""
+    monkeypatch.setattr(storage, "BROADCAST_BYTES", limit)
     df = spark.createDataFrame([(i, "hot" if i % 3 else f"cold {i // 6}") for i in range(600)] + [(None, "hot")], "doc_id bigint, text string").repartition(8)
     got = exact_dedup.exact_dedup(df).collect()
     assert len(got) == 601
     assert {(r["keep_id"], r["group_size"]) for r in got if r["group_size"] > 10} == {(599, 401)}
     assert sum(r["kept"] for r in got) == 101
+    _, _, hot = exact_dedup.repeated(exact_dedup.digests(df))
+    made = df.select(F.col("doc_id").alias("id"), F.col("text").alias("body")).withColumn("digest", F.unhex(F.sha2("body", 256)))
+    plan = exact_dedup.combine(made, hot, F.col("id"))
+    assert plan.filter("body = 'hot'").count() == 1
+    left = exact_dedup.distinct_rows(df)
+    assert left.columns == df.columns and {r["doc_id"] for r in left.collect()} == {r["id"] for r in got if r["kept"]}
+
+
+def test_exact_dedup_salts_before_it_shuffles(spark, monkeypatch):
+    """Rows of a hot text get a salt for each map task, even with no broadcast of digests."""
+    seen = []
+    kept = exact_dedup.materialize
+    monkeypatch.setattr(storage, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(exact_dedup, "materialize", lambda df, label: seen.append((label, kept(df, label))) or seen[-1][1])
+    df = spark.range(4000, numPartitions=8).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 > 0, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("text"))
+    assert exact_dedup.exact_dedup(df).filter("group_size > 1").count() == 2666
+    salted = next(d for n, d in seen if n == "dup-salted").collect()
+    assert {r["_salt"] for r in salted} == set(range(8)) and sum(r["group_size"] for r in salted) == 2666
+
+
+@pytest.mark.parametrize("limit", [24 << 20, 0])
+def test_distinct_rows_with_repeated_and_null_ids(spark, monkeypatch, limit):
+    monkeypatch.setattr(storage, "BROADCAST_BYTES", limit)
+    rows = [(5, "A", "x"), (9, "A", "y"), (5, "B", "x"), (7, "C", "a"), (7, "C", "b"), (7, "C", "b"), (None, "D", "z"), (None, "D", "z"), (None, "A", "q"), (1, None, "n"), (2, "", "n"), (None, "E", None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, digest string").repartition(3)
+    got = sorted(map(tuple, exact_dedup.distinct_rows(df).collect()), key=str)
+    assert got == sorted([(9, "A", "y"), (5, "B", "x"), (7, "C", "b"), (None, "D", "z"), (2, "", "n"), (None, "E", None)], key=str)
 
 
 def test_mixing(docs, rows, empty):
@@ -140,6 +171,52 @@ def test_near_dedup_chains_and_rounds(spark, monkeypatch):
     assert {tuple(r) for r in components.components(edges, 0).collect()} == by_driver
 
 
+def test_near_dedup_pages_of_a_template(spark, monkeypatch):
+    """Pages alike but not alike enough make no pairs of each other; the few that are linked are found, also beyond MANY classes a key."""
+    import random
+
+    rng = random.Random(3)
+    frame = [f"f{k}" for k in range(150)]
+    rows = [(i, " ".join(frame + [f"u{i}x{k}" for k in range(50)])) for i in range(300)]
+    rows += [(1000 + i, rows[i][1] + f" more{i}") for i in range(0, 40, 7)]
+    rows += [(2000 + i, " ".join([f"p{i % 3}q{k}" for k in range(60)] + [f"v{i}y{k}" for k in range(rng.randrange(8, 30))])) for i in range(90)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    compared = []
+    kept = near_dedup.materialize
+    monkeypatch.setattr(near_dedup, "materialize", lambda d, label, *a: compared.append((label, kept(d, label, *a))) or compared[-1][1])
+    got = {r["id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup.near_dedup(df).collect()}
+    assert got == brute_components(rows)
+    pairs = sum(d.filter("a < 2000 and b < 2000").count() for n, d in compared if n in ("near-pairs", "near-rest") and "a" in d.columns)
+    assert pairs < 45_000 / 3
+
+
+def test_near_dedup_at_the_threshold(spark):
+    """Pairs of a likeness from 0.75 to 0.79: all are linked. Pairs below it aren't."""
+    import random
+
+    rng = random.Random(8)
+    rows = []
+    for i in range(400):
+        n = rng.randrange(40, 160)
+        same = [f"d{i}w{k}" for k in range(n)]
+        cut = int(n * rng.uniform(0.75, 0.8)) if i % 2 else int(n * rng.uniform(0.66, 0.74))
+        rows += [(2 * i, " ".join(same)), (2 * i + 1, " ".join(same[:cut]))]
+    got = {r["id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == brute_components(rows)
+
+
+def test_near_dedup_repeated_ids(spark):
+    """Rows with one id are one node of the graph, but no text is lost to another one that it isn't like."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    rows = [(3, a), (5, a), (5, b), (7, b + " end"), (8, c), (8, c), (8, None), (9, ""), (9, ""), (None, c + " x"), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    got = sorted(((r["id"], r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup.near_dedup(df).collect()), key=str)
+    assert got == sorted([(3, 39, 3, True), (5, 39, 3, False), (5, 39, 3, False), (7, 40, 3, False), (8, 39, 8, True), (8, 39, 8, True), (8, 0, 8, True), (9, 0, 9, True), (9, 0, 9, True), (None, 40, 8, False), (None, 0, None, True)], key=str)
+    left = sorted(map(tuple, near_dedup.representatives(df).collect()), key=str)
+    assert left == sorted([(3, a), (5, b), (8, c), (8, None), (9, ""), (9, ""), (None, None)], key=str)
+    assert near_dedup.representatives(df.limit(0)).count() == 0
+
+
 def test_signature_pigeonhole():
     import numpy as np
 
