@@ -236,9 +236,22 @@ def test_substring_dedup(docs, rows, empty):
     assert substring_dedup.substring_dedup(empty).count() == 0
 
 
-@pytest.mark.parametrize("group", [6000, 1])
+def test_anchor_parts():
+    """Every window of a context is in one part, where it holds the lengthened anchor."""
+    for size, to in ((12, 24), (24, 36), (36, 50)):
+        for n in range(50, 89):
+            for g in range(max(0, n - 50), min(n - size, 50 - size) + 1):  # windows 0 to n - 50 all hold it
+                seen = []
+                for s, e, new in substring_dedup.pieces(n, g, size, to):
+                    assert 0 <= s and e <= n and e - s >= 50 and new + to <= n
+                    seen += range(s, e - 49)
+                    assert all(w <= new and new + to <= w + 50 for w in range(s, e - 49))
+                assert sorted(seen) == list(range(n - 49))
+
+
+@pytest.mark.parametrize("group", [4 << 20, 20_000, 3000, 1])
 def test_substring_dedup_dense(spark, group):
-    """Few different words, so that repeats overlap, nest and start anywhere; grams of any size go either way."""
+    """Few different words, so that repeats overlap, nest and start anywhere; anchors of any size, lengthened or not."""
     import random
 
     rng = random.Random(group)
@@ -249,10 +262,24 @@ def test_substring_dedup_dense(spark, group):
     rows += [(100, "z " * 200), (101, "z " * 70), (102, "z " * 49)]
     rng.shuffle(rows)
     df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
-    got = {r["id"]: (r["n_words"], r["n_removed"], r["kept_text"]) for r in substring_dedup.substring_dedup(df, group=group).collect()}
+    got = {r["id"]: (r["n_words"], r["n_removed"], r["kept_text"]) for r in substring_dedup.substring_dedup(df, group_bytes=group).collect()}
     assert got == brute_repeats(rows)
 
 
+def test_substring_dedup_repeated_rows(spark, monkeypatch):
+    """Equal rows are worked off once: the anchors of a text that many rows repeat do not multiply."""
+    made = []
+    kept = substring_dedup.materialize
+    monkeypatch.setattr(substring_dedup, "materialize", lambda d, label: made.append((label, kept(d, label))) or made[-1][1])
+    text = " ".join(f"w{k}" for k in range(400))
+    for i in (5, None):
+        made.clear()
+        df = spark.createDataFrame([(i, text)] * 100 + [(3, "x " + text)], "doc_id bigint, text string").repartition(5)
+        got = sorted({(r["id"] or -1, r["n_words"], r["n_removed"]) for r in substring_dedup.substring_dedup(df).collect()})
+        assert got == sorted([(i or -1, 400, 400), (3, 401, 0)])
+        assert next(d for n, d in made if n == "contexts").count() <= 101 * 40
+
+
 def test_null_ids(spark):
     p = " ".join(f"w{k}" for k in range(60))
     df = spark.createDataFrame([(None, p), (None, p), (5, p), (9, "q " + p)], "doc_id bigint, text string")
