@@ -22,4 +22,5 @@ def range_of(value: Column, cuts: list) -> Column:
     below = lambda xs: F.size(F.filter(xs, lambda c: c < value))
     block = below(F.lit([b[-1] for b in blocks]))
     inner = F.coalesce(F.get(F.array(*[F.lit(b) for b in blocks]), block), F.array().cast("array<double>"))
-    return block * step + below(inner)
+    # the last block may be a short one
+    return F.least(block * step + below(inner), F.lit(len(cuts)))
