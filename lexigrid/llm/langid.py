@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexigrid.llm.textkit import python_stage, slices, texts
-from lexigrid.storage import materialize, spread
+from lexigrid.storage import materialize, sized, spread
 
 LETTERS = re.compile(r"[^\W\d_]+")
 ORDERS = (5, 4, 3, 2, 1)
@@ -160,10 +160,10 @@ def identify(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
 def sample(docs: DataFrame, per_lang: int = SAMPLE_DOCS, id_col: str = "doc_id") -> DataFrame:
     """(text, lang) of about ``per_lang`` rows of each language, or all of a smaller one, by a hash of the id."""
     known = docs.filter(F.col("lang").isNotNull())
-    share = known.groupBy("lang").agg((F.lit(float(per_lang)) / F.count(F.lit(1))).alias("share"))
-    # one row a language
+    share = materialize(known.groupBy("lang").agg((F.lit(float(per_lang)) / F.count(F.lit(1))).alias("share")), "langid-shares")
     at = F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return known.join(share, "lang").filter(at < F.col("share")).select("text", "lang")
+    # one row a language: rows are dropped where they are read, and no text travels
+    return known.join(sized(share, share.count(), 128), "lang").filter(at < F.col("share")).select("text", "lang")
 
 
 def op1_langid(spark, sf_dir: str) -> DataFrame:
