@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -181,7 +182,7 @@ def open_tokens(code: np.ndarray, row: np.ndarray) -> np.ndarray:
 # --- the field -------------------------------------------------------------------------------------------------------
 
 
-def labelled(n: int = 600, seed: int = 7) -> list[tuple[list[str], list[str]]]:
+def labelled(n: int = 900, seed: int = 7) -> list[tuple[list[str], list[str]]]:
     """The labelled table: sentences of made-up words with personal data in many shapes, and with numbers that are none."""
     r = random.Random(seed)
     syllables = "an ber con du el for gra hi in jo ka lo men ni or pa que re son ti un ver wi za é ü".split()
@@ -247,8 +248,14 @@ def _logsum(a: np.ndarray, axis: int) -> np.ndarray:
     return np.squeeze(m, axis) + np.log(np.exp(a - m).sum(axis))
 
 
+def along(a: np.ndarray, ways: np.ndarray) -> np.ndarray:
+    """Logarithms of sums over the labels before, each times its way."""
+    m = a.max(1, keepdims=True)
+    return m + np.log(np.exp(a - m) @ ways)
+
+
 @lru_cache(maxsize=2)
-def train(steps: int = 150, rate: float = 0.1, ridge: float = 2e-4, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+def train(steps: int = 220, rate: float = 0.1, ridge: float = 2e-4, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
     """(weights of own, previous and next features by label; transition scores)."""
     table = labelled(seed=seed)
     buf = np.frombuffer("\n".join(" ".join(t) for t, _ in table).encode(), np.uint8)
@@ -287,16 +294,18 @@ def train(steps: int = 150, rate: float = 0.1, ridge: float = 2e-4, seed: int =
         e[row, col] = own + shut
         f = np.zeros((n, size, k))
         f[:, 0] = e[:, 0]
+        ways = np.exp(tr)
         for t in range(1, size):
-            f[:, t] = np.where(real[:, t, None], _logsum(f[:, t - 1, :, None] + tr, 1) + e[:, t], f[:, t - 1])
+            f[:, t] = np.where(real[:, t, None], along(f[:, t - 1], ways) + e[:, t], f[:, t - 1])
         b = np.zeros((n, size, k))
         pair = np.zeros((k, k))
         z = _logsum(f[:, -1], 1)
         for t in range(size - 2, -1, -1):
             m = e[:, t + 1] + b[:, t + 1]
-            joint = f[:, t, :, None] + tr + m[:, None, :] - z[:, None, None]
-            pair += (np.exp(joint) * real[:, t + 1, None, None]).sum(0)
-            b[:, t] = np.where(real[:, t + 1, None], _logsum(tr + m[:, None, :], 2), 0)
+            fa, ma = f[:, t].max(1), m.max(1)
+            weight = np.exp(fa + ma - z) * real[:, t + 1]
+            pair += ways * ((np.exp(f[:, t] - fa[:, None]) * weight[:, None]).T @ np.exp(m - ma[:, None]))
+            b[:, t] = np.where(real[:, t + 1, None], along(m, ways.T), 0)
         p = np.exp(f + b - z[:, None, None])[row, col]
         d = gold - p
         g = np.stack([x.T @ by_shape(which, d), x.T @ by_shape(which[:-1], d[1:] * same), x.T @ by_shape(which[1:], d[:-1] * same)])
@@ -374,14 +383,15 @@ _EDGE = " \t\n\r\x0b\x0c.,;:!?\"'`*%$#&|<>[]{}()="
 def field_spans(text: str, tokens: list[tuple[int, int, int]]) -> list[tuple[int, int, str]]:
     """Spans of runs of equally labelled tokens (byte start, byte end, label) that pass the kind's check."""
     raw = text.encode("utf-8", "surrogatepass")
-    out, i = [], 0
+    out, i, seen, chars = [], 0, 0, 0
     while i < len(tokens):
         j = i
         while j + 1 < len(tokens) and tokens[j + 1][2] == tokens[i][2] and not raw[tokens[j][1] : tokens[j + 1][0]].strip():
             j += 1
         kind = LABELS[tokens[i][2]]
         body = raw[tokens[i][0] : tokens[j][1]].decode("utf-8", "surrogatepass")
-        start = len(raw[: tokens[i][0]].decode("utf-8", "surrogatepass"))
+        chars += len(raw[seen : tokens[i][0]].decode("utf-8", "surrogatepass"))
+        seen, start = tokens[i][0], chars
         lead = len(body) - len(body.lstrip(_EDGE.replace("(", "") if kind == "phone" else _EDGE))
         core = body[lead:].rstrip(_EDGE)
         d = _DIGITS.sub("", core)
@@ -392,6 +402,20 @@ def field_spans(text: str, tokens: list[tuple[int, int, int]]) -> list[tuple[int
     return out
 
 
+def apart(more: list[tuple[int, int, str]], found: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """The spans of ``more`` that overlap none of ``found``, which is ordered by start."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for s, e, _ in found:  # joined where they overlap
+        if ends and s < ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
+    at = [bisect_right(ends, m[0]) for m in more]
+    return [m for m, i in zip(more, at) if i == len(ends) or starts[i] >= m[1]]
+
+
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, base, spans): each an array of (start, end, kind); the second has the field's too."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -419,7 +443,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                 base.append([{"start": s, "end": e, "kind": k} for s, e, k in found])
                 if len(own):
                     more = field_spans(text, [(int(starts[t] - off[i]), int(ends[t] - off[i]), int(label[t])) for t in own])
-                    found = sorted(found + [m for m in more if not any(m[0] < e and s < m[1] for s, e, _ in found)], key=lambda x: (x[0], KINDS.index(x[2])))
+                    found = sorted(found + apart(more, found), key=lambda x: (x[0], KINDS.index(x[2])))
                 spans.append([{"start": s, "end": e, "kind": k} for s, e, k in found])
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(base, pa.list_(span)), pa.array(spans, pa.list_(span))], ["id", "base", "spans"])
 
