@@ -13,7 +13,7 @@ empty every target is 0; an empty table gives an empty result; other columns are
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexigrid.storage import materialize, sized, spread
@@ -27,9 +27,8 @@ RANGE_ROWS = 50_000
 
 
 def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix") -> DataFrame:
-    """(id, source, size, key): key is 60 bits of md5 over seed and id, in [0, 2**60)."""
-    key = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))), 1, 15), 16, 10).cast("long")
-    return docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), key.alias("key"))
+    """(id, source, size, key)."""
+    return docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), key_of(F.col(id_col), seed).alias("key"))
 
 
 def targets(per_source: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
@@ -52,8 +51,8 @@ def targets(per_source: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: i
     return w.select("source", "source_size", F.round(F.least(F.col("most").cast("double"), F.col("level") * F.col("weight")), 6).alias("target"))
 
 
-def mix(slim: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
-    """(id, source, size, source_size, target, taken) from sizes(), which should be materialised."""
+def shares(slim: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
+    """(id, source, size, key, source_size, target, epochs, rest): each document is taken ``epochs`` times whole, and ``rest`` of its words once more."""
     rows = slim.count()
     ranges = max(1, -(-rows // RANGE_ROWS))
     cut = slim.withColumn("range", F.shiftright("key", 40) * ranges / (1 << 20)).withColumn("range", F.floor("range").cast("int"))
@@ -69,7 +68,30 @@ def mix(slim: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP)
     budget = F.floor("target").cast("long")
     epochs = F.when(F.col("source_size") > 0, F.expr("cast(floor(target) as bigint) div source_size")).otherwise(F.lit(0).cast("long"))
     rest = F.greatest(F.lit(0).cast("long"), F.least("size", budget - epochs * F.col("source_size") - (F.col("before") + F.col("upto") - F.col("size"))))
-    return placed.select("id", "source", "size", "source_size", "target", (epochs * F.col("size") + rest).alias("taken"))
+    return placed.select("id", "source", "size", "key", "source_size", "target", epochs.alias("epochs"), rest.alias("rest"))
+
+
+def mix(slim: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
+    """(id, source, size, source_size, target, taken) from sizes(), which should be materialised."""
+    return shares(slim, weights, share, cap).select("id", "source", "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("rest")).alias("taken"))
+
+
+def cuts(slim: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
+    """(source, epochs, cut_key, cut_id, rest): one row a source, from which what the mix takes of any document follows.
+
+    Each is taken ``epochs`` times whole, those before the cut in order of (key, id) once more, and of the one at the cut ``rest``
+    words. Without a cut nothing is taken beyond the epochs. Rows equal in id are at the cut together. ``slim`` is sizes(), materialised."""
+    got = materialize(shares(slim, weights, share, cap).select("id", "source", "key", "epochs", "rest"), "mix-shares")
+    last = got.groupBy("source").agg(F.max("epochs").alias("epochs"), F.max(F.when(F.col("rest") > 0, F.col("key"))).alias("cut_key"))
+    last = last.withColumnRenamed("source", "s")
+    at = got.filter("rest > 0").join(last.filter("cut_key is not null").drop("epochs"), F.col("source").eqNullSafe(F.col("s")) & (F.col("key") == F.col("cut_key")))
+    at = at.groupBy("s").agg(F.max(F.struct("id", "rest")).alias("at")).withColumnRenamed("s", "s2")
+    return last.join(at, F.col("s").eqNullSafe(F.col("s2")), "left").select(F.col("s").alias("source"), "epochs", "cut_key", F.col("at.id").alias("cut_id"), F.col("at.rest").alias("rest"))
+
+
+def key_of(id_: Column, seed: str = "mix") -> Column:
+    """60 bits of md5 over seed and id, in [0, 2**60)."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(id_.cast("string"), F.lit("")))), 1, 15), 16, 10).cast("long")
 
 
 def op3_mixing(spark, sf_dir: str) -> DataFrame:

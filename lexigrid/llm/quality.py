@@ -94,16 +94,17 @@ def statistics(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
     return out
 
 
-def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, x): x holds the statistics as little-endian doubles."""
-    kind = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, x, c0, c1, ...): x holds the statistics as little-endian doubles, the rest the columns named in ``carry``."""
+    kind = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             x = statistics(*flat(part.column("text")))
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([r.tobytes() for r in x], pa.binary())], ["id", "x"])
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([r.tobytes() for r in x], pa.binary()), *part.columns[2:]], ["id", "x", *part.schema.names[2:]])
 
-    return kind.transform(python_stage, run, f"id {kind.schema['id'].dataType.simpleString()}, x binary")
+    kinds = kind.schema
+    return kind.transform(python_stage, run, ", ".join([f"id {kinds['id'].dataType.simpleString()}", "x binary", *(f"c{i} {kinds[f'c{i}'].dataType.simpleString()}" for i in range(len(carry)))]))
 
 
 def fit(rows: DataFrame, shrink: float = SHRINK, ridge: float = RIDGE) -> dict:
@@ -168,12 +169,32 @@ def bucket(col, of: int):
     return F.crc32(F.coalesce(col.cast("string"), F.lit(""))) % of
 
 
+def learn(feats: DataFrame, labels: DataFrame) -> dict:
+    """Model from features() and the labels (doc_id, quality) of documents that are not held out."""
+    marked = labels.select(F.col("doc_id").alias("id"), F.col("quality").cast("int").alias("label")).filter("id is not null and label in (0, 1)").filter(bucket(F.col("id"), 4) != 2)
+    return fit(feats.select("id", "x").join(marked, "id"))
+
+
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(id, held_out, score, predicted) of every document of ``docs``; learns from labels whose id is not held out."""
     feats = materialize(features(docs), "quality-features")
-    marked = labels.select(F.col("doc_id").alias("id"), F.col("quality").cast("int").alias("label")).filter("id is not null and label in (0, 1)").filter(bucket(F.col("id"), 4) != 2)
-    model = fit(feats.join(marked, "id"))
-    return apply(feats, model).select("id", (bucket(F.col("id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return apply(feats, learn(feats, labels)).select("id", (bucket(F.col("id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that classify() would predict 1. Each row is judged by its own text, whatever its id; rows are kept
+    beside their statistics, so no text is shuffled."""
+    rows = materialize(features(docs, id_col, text_col, tuple(docs.columns)), "quality-rows")
+    model = learn(rows, labels)
+    names = [f"c{i}" for i in range(len(docs.columns))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = np.frombuffer(b"".join(b.column("x").to_pylist()), float).reshape(b.num_rows, len(NAMES))
+            yield b.select(names).filter(pa.array(score(x, model) >= threshold))
+
+    shape = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema.fields))
+    return rows.transform(python_stage, run, shape).toDF(*docs.columns)
 
 
 def op7_quality(spark, sf_dir: str) -> DataFrame:
