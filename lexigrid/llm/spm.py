@@ -16,6 +16,7 @@ import os
 import re
 import struct
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -111,40 +112,59 @@ def build(model: dict):
     return t
 
 
-def load(path: str = MODEL, threads: int = THREADS):
+def load(model: str | bytes = MODEL, threads: int = THREADS):
+    """A tokenizer from a model's path or bytes."""
     os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
-    with open(path, "rb") as f:
-        return build(parse_model(f.read()))
+    return build(parse_model(read_model(model)))
+
+
+def read_model(model: str | bytes) -> bytes:
+    if isinstance(model, bytes):
+        return model
+    with open(model, "rb") as f:
+        return f.read()
+
+
+class Index(dict):
+    """Numbers units as they are first met and lists the new ones."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, unit: str) -> int:
+        self[unit] = at = len(self)
+        self.new.append(unit)
+        return at
 
 
 class Encoder:
     """Encodes batches of texts by their units, each a run of markers with what follows.
 
     Units never share a piece if no piece holds a marker behind another character, so a text's ids are its units' ids in a
-    row. Each unit that a task has not met is encoded once, by the library, in multithreaded batches, and decoded to see that it comes back.
-    Models without that property are encoded text by text."""
+    row. Each unit that a worker has not met is encoded once, by the library, in multithreaded batches, and decoded by it to see that it comes back.
+    Models without that property are encoded and decoded text by text."""
 
     #: Units that are remembered before the table starts anew.
     MEMORY = 300_000
 
-    def __init__(self, path: str = MODEL, threads: int = THREADS):
-        self.whole = load(path, threads)
-        with open(path, "rb") as f:
-            model = parse_model(f.read())
+    def __init__(self, model: str | bytes = MODEL, threads: int = THREADS):
+        raw = read_model(model)
+        self.whole = load(raw, threads)
+        parsed = parse_model(raw)
         self.by_units = self.whole.pre_tokenizer is not None
-        self.plain = not model["charsmap"] and not model["strip"] and model["escape"]
-        self.prefix = model["dummy_prefix"]
-        self.core = build(model)
+        self.plain = not parsed["charsmap"] and not parsed["strip"] and parsed["escape"]
+        self.prefix = parsed["dummy_prefix"]
+        self.core = build(parsed)
         if self.by_units:
             self.core.normalizer = None
-        # how a piece looks in a text; bytes of more than one to a character stay as they are, and are decoded
-        self.pieces = [chr(int(p[3:5], 16)) if k == BYTE and p < "<0x80>" else p for p, _, k in model["pieces"]]
+        self.opens = np.array([p[:1] == MARK for p, _, _ in parsed["pieces"]])
         self.pattern = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
         self.reset()
 
     def reset(self) -> None:
-        self.index: dict[str, int] = {}
+        self.index = Index()
         self.ids = np.zeros(1 << 16, np.int32)
         self.used = 0
         self.start = self.size = np.zeros(0, np.int64)
@@ -164,41 +184,40 @@ class Encoder:
         return [u[1:] if u[:1] == MARK and u[1:2] != MARK and len(u) > 1 else MARK + u for u in self.pattern.findall(text)]
 
     def learn(self, new: list[str]) -> None:
-        """Ids of units: most are encoded in long strings, which the library splits at the same places, some one by one."""
+        """Ids of units: those behind one marker are encoded and decoded in long strings, which the library splits at the markers;
+        others, and strings that don't come back, unit by unit."""
         full = [u[1:] if u[0] == MARK else MARK + u for u in new]
-        joined = [i for i, f in enumerate(full) if f[0] == MARK and f[-1] != MARK]
-        parts = [joined[at : at + 1000] for at in range(0, len(joined), 1000)]
-        single = [i for i, f in enumerate(full) if f[0] != MARK or f[-1] == MARK]
-        size = np.zeros(len(new), np.int64)
+        start, size, back = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64), np.ones(len(new), bool)
         made: list[np.ndarray] = []
-        order: list[int] = []
-        for part, e in zip(parts, self.core.encode_batch(["".join(map(full.__getitem__, p)) for p in parts], add_special_tokens=False)):
-            size[part] = np.bincount(np.array(e.word_ids, np.int64), minlength=len(part))
-            made.append(np.array(e.ids, np.int32))
-            order += part
-        for i, e in zip(single, self.core.encode_batch_fast([full[i] for i in single], add_special_tokens=False)):
-            size[i] = len(e.ids)
-            made.append(np.array(e.ids, np.int32))
-            order.append(i)
-        ids = np.concatenate(made)
-        size = size[order]
-        end = np.cumsum(size)
-        text = list(map(self.pieces.__getitem__, ids.tolist()))
-        back = np.ones(len(order), bool)
-        for at in range(0, len(order), 50):  # compared in blocks, and one by one where a block differs
-            block = order[at : at + 50]
-            if "".join(text[end[at] - size[at] : end[at + len(block) - 1]]) != "".join(map(full.__getitem__, block)):
-                for k, i in enumerate(block, at):
-                    back[k] = self.core.decode(ids[end[k] - size[k] : end[k]].tolist(), skip_special_tokens=False) == self.shown(full[i])
-        base = len(self.index)
-        self.index.update(zip(map(new.__getitem__, order), range(base, base + len(order))))
-        self.start = np.concatenate([self.start, self.used + end - size])
-        self.size = np.concatenate([self.size, size])
-        self.back = np.concatenate([self.back, back])
-        while self.used + len(ids) > len(self.ids):
+        used = self.used
+
+        def keep(i, ids: np.ndarray, first: np.ndarray) -> None:
+            nonlocal used
+            start[i], size[i] = used + first, np.diff(np.append(first, len(ids)))
+            made.append(ids)
+            used += len(ids)
+
+        plain = [i for i, u in enumerate(new) if u[0] != MARK]
+        single = [i for i, u in enumerate(new) if u[0] == MARK]
+        parts = [plain[at : at + 1000] for at in range(0, len(plain), 1000)]
+        strings = ["".join(map(full.__getitem__, p)) for p in parts]
+        lists = [e.ids for e in self.core.encode_batch_fast(strings, add_special_tokens=False)]
+        for part, text, ids, again in zip(parts, strings, lists, self.core.decode_batch(lists, skip_special_tokens=False)):
+            ids_ = np.array(ids, np.int32)
+            first = np.flatnonzero(self.opens[ids_])
+            if again == self.shown(text) and len(first) == len(part):
+                keep(part, ids_, first)
+            else:
+                single += part
+        lists = [e.ids for e in self.core.encode_batch_fast([full[i] for i in single], add_special_tokens=False)]
+        for i, ids, again in zip(single, lists, self.core.decode_batch(lists, skip_special_tokens=False)):
+            keep([i], np.array(ids, np.int32), np.zeros(1, np.int64))
+            back[i] = again == self.shown(full[i])
+        self.start, self.size, self.back = np.concatenate([self.start, start]), np.concatenate([self.size, size]), np.concatenate([self.back, back])
+        while used > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.ids[self.used : self.used + len(ids)] = ids
-        self.used += len(ids)
+        self.ids[self.used : used] = np.concatenate(made)
+        self.used = used
 
     def shown(self, unit: str) -> str:
         text = unit.replace(MARK, " ")
@@ -214,11 +233,11 @@ class Encoder:
         if len(self.index) > self.MEMORY:
             self.reset()
         units = [self.units(t) for t in body]
-        known = self.index
-        if new := [u for u in dict.fromkeys(chain.from_iterable(units)) if u not in known]:
-            self.learn(new)
-        at = np.array(list(map(known.__getitem__, chain.from_iterable(units))), np.int64)
         first = np.concatenate([[0], np.cumsum([len(us) for us in units])]).astype(np.int64)
+        at = np.fromiter(map(self.index.__getitem__, chain.from_iterable(units)), np.int64, int(first[-1]))
+        if self.index.new:
+            self.learn(self.index.new)
+            self.index.new = []
         size, start = self.size[at], self.start[at]
         end = np.concatenate([[0], np.cumsum(size)])
         ids = self.ids[np.arange(end[-1]) + np.repeat(start - end[:-1], size)]
@@ -226,22 +245,37 @@ class Encoder:
         return ids, end[first], (bad[first[1:]] == bad[first[:-1]]).tolist()
 
 
+@lru_cache(maxsize=1)
+def encoder(model: bytes) -> Encoder:
+    """A worker's encoder, built once for all tasks that it runs."""
+    return Encoder(model)
+
+
+def same_ids(lists: list[list[int]], ids: np.ndarray, off: np.ndarray) -> list[bool]:
+    """Whether each list equals its part of ``ids``."""
+    if [len(x) for x in lists] != np.diff(off).tolist():
+        return [x == ids[a:b].tolist() for x, a, b in zip(lists, off[:-1], off[1:])]
+    bad = np.concatenate([[0], np.cumsum(np.fromiter(chain.from_iterable(lists), np.int32, len(ids)) != ids)])
+    return (bad[off[1:]] == bad[off[:-1]]).tolist()
+
+
 def encode(docs: DataFrame, path: str = MODEL, verify: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids, n_chars, decoded_same, parity): token ids of every whole text; whether decoding them gives the text again
     (a marker counts as a space), and whether the sentencepiece library has the same ids (null if not verified)."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    model = docs.sparkSession.sparkContext.broadcast(read_model(path))  # the driver's file; its size is the vocabulary's
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = Encoder(path)
+        t = encoder(model.value)
         other = None
         if verify:
             import sentencepiece
 
-            other = sentencepiece.SentencePieceProcessor(model_file=path)
+            other = sentencepiece.SentencePieceProcessor(model_proto=model.value)
         for part in slices(batches, "text", 1 << 20):
             body = texts(part.column("text"))
             ids, off, same = t.batch(body)
-            parity = [np.array_equal(np.array(x, np.int32), ids[a:b]) for x, a, b in zip(other.encode(body, num_threads=1), off[:-1], off[1:])] if other else [None] * len(body)
+            parity = same_ids(other.encode(body, num_threads=1), ids, off) if other else [None] * len(body)
             lists = pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(ids))
             yield pa.RecordBatch.from_arrays([part.column("id"), lists, pa.array(map(len, body), pa.int64()), pa.array(same, pa.bool_()), pa.array(parity, pa.bool_())], ["id", "ids", "n_chars", "decoded_same", "parity"])
 
@@ -251,9 +285,10 @@ def encode(docs: DataFrame, path: str = MODEL, verify: bool = True, id_col: str
 def decode(rows: DataFrame, path: str = MODEL, id_col: str = "id", ids_col: str = "ids") -> DataFrame:
     """(id, text) from token ids; null ids give null."""
     got = rows.select(F.col(id_col).alias("id"), F.col(ids_col).cast("array<int>").alias("ids"))
+    model = rows.sparkSession.sparkContext.broadcast(read_model(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = load(path)
+        t = load(model.value)
         for b in batches:
             ids = b.column("ids").to_pylist()
             back = t.decode_batch([x or [] for x in ids], skip_special_tokens=False)
