@@ -16,7 +16,6 @@ import os
 import re
 import struct
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -143,20 +142,20 @@ class Encoder:
     """Encodes batches of texts by their units, each a run of markers with what follows.
 
     Units never share a piece if no piece holds a marker behind another character, so a text's ids are its units' ids in a
-    row. Each unit that a worker has not met is encoded once, by the library, in multithreaded batches, and decoded by it to see that it comes back.
+    row. Each unit that a task has not met is encoded once, by the library, in multithreaded batches, and decoded by it to see that it comes back.
     Models without that property are encoded and decoded text by text."""
 
     #: Units that are remembered before the table starts anew.
     MEMORY = 300_000
 
-    def __init__(self, model: str | bytes = MODEL, threads: int = THREADS):
+    def __init__(self, model: str | bytes = MODEL, threads: int = THREADS, by_units: bool = True):
         raw = read_model(model)
-        self.whole = load(raw, threads)
         parsed = parse_model(raw)
-        self.by_units = self.whole.pre_tokenizer is not None
+        self.core = load(raw, threads)
+        self.by_units = by_units and self.core.pre_tokenizer is not None
         self.plain = not parsed["charsmap"] and not parsed["strip"] and parsed["escape"]
         self.prefix = parsed["dummy_prefix"]
-        self.core = build(parsed)
+        self.normalizer = self.core.normalizer
         if self.by_units:
             self.core.normalizer = None
         self.opens = np.array([p[:1] == MARK for p, _, _ in parsed["pieces"]])
@@ -176,7 +175,7 @@ class Encoder:
         if self.plain:
             text = (MARK if self.prefix else "") + text.replace(" ", MARK)
         else:
-            text = self.whole.normalizer.normalize_str(text) if self.whole.normalizer else text
+            text = self.normalizer.normalize_str(text) if self.normalizer else text
         parts = text.split(MARK)
         if "" not in parts[1:] and not parts[0]:
             return parts[1:]  # each stands for itself behind one marker
@@ -226,8 +225,8 @@ class Encoder:
     def batch(self, body: list[str]) -> tuple[np.ndarray, np.ndarray, list[bool]]:
         """(all ids, offsets of the texts in them, whether each text decodes to itself)."""
         if not self.by_units:
-            ids = [e.ids for e in self.whole.encode_batch_fast(body, add_special_tokens=False)]
-            back = self.whole.decode_batch(ids, skip_special_tokens=False)
+            ids = [e.ids for e in self.core.encode_batch_fast(body, add_special_tokens=False)]
+            back = self.core.decode_batch(ids, skip_special_tokens=False)
             off = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int64)
             return np.array([x for i in ids for x in i], np.int32), off, [a == b.replace(MARK, " ") for a, b in zip(back, body)]
         if len(self.index) > self.MEMORY:
@@ -245,12 +244,6 @@ class Encoder:
         return ids, end[first], (bad[first[1:]] == bad[first[:-1]]).tolist()
 
 
-@lru_cache(maxsize=1)
-def encoder(model: bytes) -> Encoder:
-    """A worker's encoder, built once for all tasks that it runs."""
-    return Encoder(model)
-
-
 def same_ids(lists: list[list[int]], ids: np.ndarray, off: np.ndarray) -> list[bool]:
     """Whether each list equals its part of ``ids``."""
     if [len(x) for x in lists] != np.diff(off).tolist():
@@ -266,7 +259,7 @@ def encode(docs: DataFrame, path: str = MODEL, verify: bool = True, id_col: str
     model = docs.sparkSession.sparkContext.broadcast(read_model(path))  # the driver's file; its size is the vocabulary's
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = encoder(model.value)
+        t = Encoder(model.value)
         other = None
         if verify:
             import sentencepiece

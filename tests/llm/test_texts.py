@@ -492,10 +492,9 @@ def test_spm_parity(spark, docs, rows, empty):
     assert [e.ids for e in t.encode_batch(texts, add_special_tokens=False)] == sp.encode(texts)
     e = spm.Encoder()
     assert e.by_units and e.plain
-    for _ in range(2):
+    for e in (e, spm.Encoder(by_units=False)):  # text by text, too
         ids, off, same = e.batch(texts)
         assert [ids[a:b].tolist() for a, b in zip(off[:-1], off[1:])] == sp.encode(texts) and all(same)
-        e.by_units = False  # text by text, too
     got = {r["id"]: r for r in spm.encode(docs).collect()}
     assert len(got) == len(rows)
     for d, x, *_ in rows:
@@ -505,6 +504,26 @@ def test_spm_parity(spark, docs, rows, empty):
     assert spm.encode(empty).count() == 0
 
 
+def test_spm_query(spark, docs, folder, rows, tmp_path):
+    """The registered query: the library's ids, text by text; repeated rows stay; a wrong id or length shows in the parity column."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=spm.MODEL)
+    got = {r["doc_id"]: r for r in spm.op4_sentencepiece(spark, folder).collect()}
+    assert len(got) == len(rows)
+    for d, t, *_ in rows:
+        ids = sp.encode(t or "")
+        assert (got[d]["ids"], got[d]["n_tokens"], got[d]["n_chars"], got[d]["parity"]) == (ids, len(ids), len(t or ""), True)
+        assert got[d]["decoded_same"] == (sp.decode(ids) == (t or "").replace("▁", " "))
+    spark.createDataFrame([(1, "a b")] * 3 + [(None, "a b"), (2, None)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    again = spm.op4_sentencepiece(spark, str(tmp_path)).collect()
+    assert sorted(map(len, (r["ids"] for r in again))) == [0, 2, 2, 2, 2] and all(r["parity"] for r in again)
+    ids, off = np.array([5, 6, 7], np.int32), np.array([0, 2, 2, 3])
+    assert spm.same_ids([[5, 6], [], [7]], ids, off) == [True, True, True]
+    assert spm.same_ids([[5, 9], [], [7]], ids, off) == [False, True, True]
+    assert spm.same_ids([[5], [6], [7]], ids, off) == [False, False, True]
+
+
 def test_spm_words_of_nul():
     """A word may start with U+0000, or be nothing else; markers and such words in all orders keep their ids."""
     import sentencepiece
