@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import time
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -13,13 +15,17 @@ from lexigrid.functions.values import Feature, FeatureCodec, check_feature
 from lexigrid.spec import RANGE, SCALAR, SEQUENCE, SET, CorpusSpec, FieldSpec, handler_of
 
 PASSAGE = 16
+POSTINGS = "field string, value string, doc_id bigint, tf bigint, positions array<int>"
 
 
 class Index:
-    """Features of a corpus. All tables are lazy; ``write`` and ``read`` keep them as Parquet."""
+    """Features of a corpus. All tables are lazy; ``write`` and ``read`` keep them as Parquet.
 
-    def __init__(self, docs: DataFrame, kinds: dict[str, str], passage_size: int = PASSAGE):
-        self.docs, self.kinds, self.passage_size = docs, kinds, passage_size
+    ``stored`` is the table of postings (field, value, doc_id, tf, positions) of an index that was read: lookups, counts, boolean queries and
+    phrases then read the postings in question and no documents."""
+
+    def __init__(self, docs: DataFrame, kinds: dict[str, str], passage_size: int = PASSAGE, stored: DataFrame | None = None):
+        self.docs, self.kinds, self.passage_size, self.stored = docs, kinds, passage_size, stored
 
     @staticmethod
     def build(df: DataFrame, spec: CorpusSpec, passage_size: int = PASSAGE) -> "Index":
@@ -54,6 +60,10 @@ class Index:
     def total(self) -> int:
         return self.docs.count()
 
+    def max_doc_id(self) -> int | None:
+        """The greatest id; None for an empty index."""
+        return self.docs.agg(F.max("doc_id")).first()[0]
+
     def fetch(self, ids: DataFrame) -> DataFrame:
         """Documents of the ids in a table (doc_id)."""
         return self.docs.join(ids.select("doc_id"), "doc_id", "left_semi")
@@ -83,11 +93,27 @@ class Index:
 
     def lookup(self, feature: Feature) -> DataFrame:
         """(doc_id) of the documents that have the feature."""
+        if (found := self._found(feature)) is not None:
+            return found.select("doc_id") if len(feature) == 2 else found.select("doc_id").distinct()
         return self.docs.filter(self.predicate(feature)).select("doc_id")
 
+    def _found(self, feature: Feature) -> DataFrame | None:
+        """The postings of an array field's feature, if they are stored; files are sorted, so few are read."""
+        field, *values = check_feature(feature)
+        if field not in self.kinds:
+            raise KeyError(field)
+        if self.stored is None or self.kinds[field] not in (SEQUENCE, SET) or not isinstance(self.docs.schema[field].dataType.elementType, T.StringType):
+            return None
+        value = F.col("value")
+        return self.stored.filter(F.col("field") == field).filter(value == F.lit(values[0]) if len(values) == 1 else within(value, *values))
+
     def counts(self, feature: Feature) -> DataFrame:
         """One row (doc_count, location_count) of a feature; locations exist for sequences only."""
         field, *values = check_feature(feature)
+        if (found := self._found(feature)) is not None:
+            n = F.coalesce(F.sum("tf"), F.lit(0)) if self.kinds[field] == SEQUENCE else F.lit(0)
+            docs = F.count(F.lit(1)) if len(values) == 1 else F.count_distinct("doc_id")
+            return found.agg(docs.alias("doc_count"), n.cast("long").alias("location_count"))
         n = F.lit(0).cast("long")
         if self.kinds[field] == SEQUENCE:
             n = F.size(F.filter(field, lambda x: (x == F.lit(values[0])) if len(values) == 1 else within(x, *values))).cast("long")
@@ -149,18 +175,63 @@ class Index:
 
     # --- storage ---
 
+    def located(self) -> DataFrame:
+        """(field, value, doc_id, tf, positions) of array fields; positions are null but for sequences."""
+        parts = None
+        for f in self.arrays:
+            rows = self.docs.select("doc_id", F.posexplode(F.col(f).cast("array<string>")).alias("pos", "value"))
+            spots = F.sort_array(F.collect_list("pos")) if self.kinds[f] == SEQUENCE else F.lit(None).cast("array<int>")
+            part = rows.groupBy("value", "doc_id").agg(F.count(F.lit(1)).alias("tf"), spots.alias("positions")).select(F.lit(f).alias("field"), "value", "doc_id", "tf", "positions")
+            parts = part if parts is None else parts.unionByName(part)
+        return parts
+
+    def settings(self) -> DataFrame:
+        """One row with the fields' kinds and the passage size as JSON."""
+        return self.docs.sparkSession.createDataFrame([(json.dumps({"kinds": self.kinds, "passage_size": self.passage_size}),)], "value string").coalesce(1)
+
     def write(self, path: str) -> None:
-        """Replace the whole index: documents, postings by field in value order, settings."""
-        self.docs.write.mode("overwrite").parquet(f"{path}/docs")
-        if self.arrays:
-            self.postings().repartition("field", "value").sortWithinPartitions("field", "value").write.mode("overwrite").partitionBy("field").parquet(f"{path}/postings")
+        """Replace the whole index at once: documents, postings in order of value and id, settings.
+
+        They are written to a new folder, and then one rename of a small file makes it the current one: a reader has the old index or
+        the new, and an index may be written over the path that it was read from. The version before stays for readers that have it open; older ones go.
+        Postings are cut into ranges of (value, doc_id), so those of a very frequent value are spread over many files."""
         spark = self.docs.sparkSession
-        spark.createDataFrame([(json.dumps({"kinds": self.kinds, "passage_size": self.passage_size}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/settings")
+        version = f"v-{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+        self.docs.write.parquet(f"{path}/{version}/docs")
+        if self.arrays:
+            self.located().repartitionByRange("field", "value", "doc_id").sortWithinPartitions("field", "value", "doc_id").write.partitionBy("field").parquet(f"{path}/{version}/postings")
+        self.settings().write.text(f"{path}/{version}/settings")
+        point(spark, path, version)
 
     @staticmethod
     def read(spark: SparkSession, path: str) -> "Index":
+        """The current version of a written index, or one that is appended to batch by batch."""
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        mark = jvm.org.apache.hadoop.fs.Path(f"{path}/current")
+        if mark.getFileSystem(conf).exists(mark):
+            path = f"{path}/{spark.read.text(f'{path}/current').first()[0]}"
         s = json.loads(spark.read.text(f"{path}/settings").first()[0])
-        return Index(spark.read.parquet(f"{path}/docs"), s["kinds"], s["passage_size"])
+        at = jvm.org.apache.hadoop.fs.Path(f"{path}/postings")
+        # the schema is given: a column of folder names may be read as a number, and an empty table has no files
+        stored = spark.read.schema(POSTINGS).parquet(f"{path}/postings") if at.getFileSystem(conf).exists(at) else None
+        return Index(spark.read.parquet(f"{path}/docs").drop("batch"), s["kinds"], s["passage_size"], stored)
+
+
+def point(spark: SparkSession, path: str, version: str, keep: int = 2) -> None:
+    """Make a version the current one by an atomic rename, and delete all but the last ``keep``."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    p = jvm.org.apache.hadoop.fs.Path
+    fs = p(path).getFileSystem(conf)
+    fresh = p(f"{path}/current-{version}")
+    out = fs.create(fresh, True)
+    out.write(bytearray(version.encode()))
+    out.close()
+    how = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    how[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf).rename(fresh, p(f"{path}/current"), how)
+    made = sorted(f.getPath().getName() for f in fs.listStatus(p(path)) if f.getPath().getName().startswith("v-"))
+    for old in made[:-keep]:
+        fs.delete(p(f"{path}/{old}"), True)
 
 
 def within(x: Column, start, end) -> Column:

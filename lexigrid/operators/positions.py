@@ -16,9 +16,13 @@ def fits(x: Column, feature: Feature) -> Column:
 
 
 def hits(index: Index, features: Sequence[Feature]) -> DataFrame:
-    """(doc_id, pos, value) of a sequence's positions that match any of the features; filtered inside the row, before exploding."""
+    """(doc_id, pos, value) of a sequence's positions that match any of the features: from the postings of a stored index, else filtered inside the
+    document row, before exploding."""
     fs = [check_feature(f) for f in features]
     field = fs[0][0]
+    if index.stored is not None:
+        found = index.stored.filter((F.col("field") == field) & _any([fits(F.col("value"), f) for f in fs]))
+        return found.select("doc_id", F.explode("positions").alias("pos"), "value").select("doc_id", F.col("pos").cast("long").alias("pos"), "value")
     ok = lambda x: _any([fits(x, f) for f in fs])
     rows = index.docs.select("doc_id", F.explode(F.filter(F.transform(field, lambda v, i: F.struct(i.cast("long").alias("pos"), v.alias("value"))), lambda s: ok(s["value"]))).alias("h"))
     return rows.select("doc_id", "h.pos", "h.value")
@@ -46,10 +50,18 @@ def feature_passages(index: Index, feature: Feature) -> DataFrame:
     return p.select("doc_id", F.explode(F.array(F.col("p"), F.col("p") + 1)).alias("passage")).distinct()
 
 
+#: Passages of one bucket when passage numbers meet documents.
+BUCKET = 4096
+
+
 def passages_to_docs(passages: DataFrame, layout: DataFrame) -> DataFrame:
-    """(doc_id) of global passage numbers (passage), by the layout's ranges: an equi-join on each document's own passages."""
-    own = layout.select("doc_id", F.explode(F.sequence("first_passage", F.col("first_passage") + F.col("passages") - 1)).alias("passage"))
-    return own.join(passages.select("passage"), "passage", "left_semi").select("doc_id").distinct()
+    """(doc_id) of global passage numbers (passage), by the layout's ranges. Both sides go to buckets of BUCKET numbers; a document is in each
+    bucket that it reaches into, so one row stands for many passages and no passage is spelled out."""
+    last = F.col("first_passage") + F.col("passages") - 1
+    own = layout.select("doc_id", "first_passage", last.alias("last"), F.explode(F.sequence(F.floor(F.col("first_passage") / BUCKET), F.floor(last / BUCKET))).alias("bucket"))
+    wanted = passages.select("passage", F.floor(F.col("passage") / BUCKET).alias("bucket")).distinct()
+    both = own.join(wanted, "bucket").filter("passage between first_passage and last")
+    return both.select("doc_id").distinct()
 
 
 def phrase_by_position(index: Index, features: Sequence[Feature]) -> DataFrame:

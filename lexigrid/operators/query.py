@@ -22,8 +22,14 @@ class Query:
     def column(self, index: Index) -> Column:
         raise NotImplementedError
 
+    def ids(self, index: Index) -> DataFrame:
+        """(doc_id), distinct, from the postings of a stored index."""
+        raise NotImplementedError
+
     def evaluate(self, index: Index) -> DataFrame:
-        """(doc_id) of the matching documents."""
+        """(doc_id) of the matching documents: set operations on postings if the index is stored, else one predicate on the document rows."""
+        if index.stored is not None:
+            return self.ids(index)
         return index.docs.filter(self.column(index)).select("doc_id")
 
 
@@ -34,6 +40,9 @@ class Has(Query):
     feature: Feature
     kind = "has"
 
+    def ids(self, index: Index) -> DataFrame:
+        return index.lookup(self.feature)
+
     def column(self, index: Index) -> Column:
         return index.predicate(self.feature)
 
@@ -61,6 +70,12 @@ class MatchAny(_Many):
 
     kind = "any"
 
+    def ids(self, index: Index) -> DataFrame:
+        out = index.docs.select("doc_id").filter("false")
+        for a in self.args:
+            out = out.union(a.ids(index))
+        return out.distinct()
+
     def column(self, index: Index) -> Column:
         out = F.lit(False)
         for a in self.args:
@@ -73,6 +88,14 @@ class MatchAll(_Many):
 
     kind = "all"
 
+    def ids(self, index: Index) -> DataFrame:
+        if not self.args:
+            return index.docs.select("doc_id").filter("false")
+        out = self.args[0].ids(index)
+        for a in self.args[1:]:
+            out = out.join(a.ids(index), "doc_id", "left_semi")
+        return out
+
     def column(self, index: Index) -> Column:
         if not self.args:
             return F.lit(False)
@@ -87,6 +110,12 @@ class AndNot(_Many):
 
     kind = "not"
 
+    def ids(self, index: Index) -> DataFrame:
+        out = self.args[0].ids(index)
+        for a in self.args[1:]:
+            out = out.join(a.ids(index), "doc_id", "left_anti")
+        return out
+
     def column(self, index: Index) -> Column:
         return self.args[0].column(index) & ~MatchAny(*self.args[1:]).column(index)
 
@@ -98,15 +127,25 @@ class MatchPhrase(Query):
     features: tuple
     kind = "phrase"
 
-    def column(self, index: Index) -> Column:
+    def checked(self, index: Index) -> list[Feature]:
         fs = [check_feature(f) for f in self.features]
-        if not fs:
-            return F.lit(False)
         if len({f[0] for f in fs}) > 1:
             raise ValueError("a phrase has one field")
+        if fs and index.kinds.get(fs[0][0]) != SEQUENCE:
+            raise ValueError(f"{fs[0][0]} has no positions")
+        return fs
+
+    def ids(self, index: Index) -> DataFrame:
+        from lexigrid.operators.positions import phrase_by_position
+
+        fs = self.checked(index)
+        return phrase_by_position(index, fs) if fs else index.docs.select("doc_id").filter("false")
+
+    def column(self, index: Index) -> Column:
+        fs = self.checked(index)
+        if not fs:
+            return F.lit(False)
         field = fs[0][0]
-        if index.kinds.get(field) != SEQUENCE:
-            raise ValueError(f"{field} has no positions")
         k = len(fs)
 
         def fits(x: Column, f: Feature) -> Column:
@@ -129,7 +168,7 @@ class MatchPhrase(Query):
 REGISTRY: dict[str, type] = {c.kind: c for c in (MatchAny, MatchAll, AndNot)}
 
 
-# --- rows of (key, value): qt type, a arity, f field, v or v1 / v2 -----------------------------------------------------
+# --- rows of (key, value): qt type, a arity, f field, v or v1 / v2 ---
 
 
 def to_rows(query: Query, codec: FeatureCodec) -> list[tuple[str, str]]:
@@ -167,7 +206,7 @@ def from_rows(rows: Sequence[tuple[str, str]], codec: FeatureCodec) -> Query:
     return made
 
 
-# --- clause queries: all of the clauses, any component of each; a component is a feature or a cluster id ----------------
+# --- clause queries: all of the clauses, any component of each; a component is a feature or a cluster id ---
 
 
 def clause_predicate(index: Index, clauses: Sequence[Sequence], clusters: dict[int, Sequence[Feature]] | None = None) -> Column:
@@ -180,9 +219,20 @@ def clause_predicate(index: Index, clauses: Sequence[Sequence], clusters: dict[i
     return out
 
 
-def clause_query(index: Index, clauses: Sequence[Sequence], clusters: dict[int, Sequence[Feature]] | None = None) -> DataFrame:
-    """(doc_id); no clauses match all documents."""
-    return index.docs.filter(clause_predicate(index, clauses, clusters)).select("doc_id")
+def clause_query(index: Index, clauses: Sequence[Sequence], clusters: dict[int, Sequence[Feature]] | None = None, cluster_docs: DataFrame | None = None) -> DataFrame:
+    """(doc_id); no clauses match all documents. Clusters are given as a few features each, or all of them as a table (cluster_id, doc_id) that
+    is joined, whatever the number of their features."""
+    if cluster_docs is None:
+        return index.docs.filter(clause_predicate(index, clauses, clusters)).select("doc_id")
+    docs, where = index.docs, F.lit(True)
+    for k, clause in enumerate(clauses):
+        ids, features = [c for c in clause if isinstance(c, int)], [c for c in clause if not isinstance(c, int)]
+        part = MatchAny(*features).column(index)
+        if ids:
+            hit = cluster_docs.filter(F.col("cluster_id").isin(ids)).select("doc_id").distinct().withColumn(f"_in{k}", F.lit(True))
+            docs, part = docs.join(hit, "doc_id", "left"), part | F.coalesce(F.col(f"_in{k}"), F.lit(False))
+        where = where & part
+    return docs.filter(where).select("doc_id")
 
 
 def clauses_to_querystring(clauses: Sequence[Sequence], codec: FeatureCodec) -> str:
@@ -238,7 +288,7 @@ def search(text_tokens: Sequence[str], field: str, mode: str = "any") -> Query:
     return MatchAny(*features) if mode == "any" else MatchAll(*features)
 
 
-# --- documents in memory -----------------------------------------------------------------------------------------------
+# --- documents in memory ---
 
 
 def _values(v) -> list:
