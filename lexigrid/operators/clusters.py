@@ -8,6 +8,7 @@ documents that they share, by joins on doc_id after each cluster's documents are
 
 from __future__ import annotations
 
+import math
 import random
 
 from pyspark.sql import Column, DataFrame, Window
@@ -15,8 +16,9 @@ from pyspark.sql import functions as F
 
 from lexigrid.operators.facets import statistics
 from lexigrid.operators.index import Index
+from lexigrid.operators.plugins import Migration, Plugin
 from lexigrid.spec import RANGE
-from lexigrid.storage import materialize
+from lexigrid.storage import materialize, sized
 
 FEATURE = ["field", "value"]
 STATE = ["cluster_id", "field", "value", "doc_count"]
@@ -46,7 +48,7 @@ def initial(index: Index, k: int, min_docs: int = 10, fields: list[str] | None =
     return ranked.select(((F.col("_before") + F.col("_i") - 1) % k + 1).cast("long").alias("cluster_id"), "field", "value", "doc_count")
 
 
-# --- editing -----------------------------------------------------------------------------------------------------------
+# --- editing ---
 
 
 def delete_clusters(state: DataFrame, ids: list[int]) -> DataFrame:
@@ -80,7 +82,7 @@ def merge(state: DataFrame, ids: list[int]) -> DataFrame:
     return state.withColumn("cluster_id", F.when(F.col("cluster_id").isin(list(ids)), F.lit(ids[0]).cast("long")).otherwise(F.col("cluster_id")))
 
 
-# --- reading -----------------------------------------------------------------------------------------------------------
+# --- reading ---
 
 
 def cluster_features(state: DataFrame, cluster_id: int, top_k: int | None = None) -> DataFrame:
@@ -139,7 +141,7 @@ def matching_features(faceted: DataFrame) -> DataFrame:
     return faceted.groupBy("cluster_id").agg(F.count_if(F.col("hits") > 0).alias("matching_feature_count"))
 
 
-# --- scoring -----------------------------------------------------------------------------------------------------------
+# --- scoring ---
 
 
 def cluster_stats(cov: DataFrame, state: DataFrame) -> DataFrame:
@@ -180,14 +182,21 @@ def best_moves(members: DataFrame, state: DataFrame) -> DataFrame:
 def propose(members: DataFrame, state: DataFrame, features: DataFrame) -> DataFrame:
     """(field, value, cluster_id): the next best cluster of ``state`` for features (field, value, doc_count), by gain.
 
-    Clusters that share no document are candidates too, and there are few clusters, so each feature meets all their totals."""
+    Only pairs that share documents are scored one by one. Clusters that share none are candidates too: their gain depends on the feature's
+    document count alone, so the best one is found for each different count. It is no more than the pair's own gain where documents are shared."""
     cov = coverage(members, state)
     x = members.join(features.select(*FEATURE), FEATURE, "left_semi").join(cov.select("cluster_id", "doc_id"), "doc_id").groupBy("cluster_id", *FEATURE).agg(F.count(F.lit(1)).alias("x"))
-    stats = cluster_stats(cov, state)
-    pairs = features.select(*FEATURE, "doc_count").crossJoin(F.broadcast(stats)).join(x, ["cluster_id", *FEATURE], "left")
-    u = F.col("docs_any") + F.col("doc_count") - F.coalesce("x", F.lit(0))
-    gain = (F.col("total") + F.col("doc_count")) / (F.col("n") + 1 + u) - F.col("total") / (F.col("n") + F.col("docs_any"))
-    return pairs.withColumn("gain", gain).groupBy(*FEATURE).agg(F.max(F.struct("gain", "cluster_id"))["cluster_id"].alias("cluster_id"))
+    stats = materialize(cluster_stats(cov, state).select("cluster_id", "n", "total", "docs_any"), "cluster-stats")
+
+    def gain(shared: Column) -> Column:
+        u = F.col("docs_any") + F.col("doc_count") - shared
+        return (F.col("total") + F.col("doc_count")) / (F.col("n") + 1 + u) - F.col("total") / (F.col("n") + F.col("docs_any"))
+
+    stats = sized(stats, stats.count(), 96)
+    near = features.select(*FEATURE, "doc_count").join(x, FEATURE).join(stats, "cluster_id").select(*FEATURE, gain(F.col("x")).alias("gain"), "cluster_id")
+    far = features.select("doc_count").distinct().join(stats, F.lit(True)).select("doc_count", F.struct(gain(F.lit(0)).alias("gain"), "cluster_id").alias("g")).groupBy("doc_count").agg(F.max("g").alias("g"))
+    all_ = near.unionByName(features.select(*FEATURE, "doc_count").join(far, "doc_count").select(*FEATURE, "g.gain", "g.cluster_id"))
+    return all_.groupBy(*FEATURE).agg(F.max(F.struct("gain", "cluster_id"))["cluster_id"].alias("cluster_id"))
 
 
 def dissolve(members: DataFrame, state: DataFrame, ids: list[int]) -> DataFrame:
@@ -209,17 +218,19 @@ def split(members: DataFrame, state: DataFrame, cluster_id: int, k: int) -> Data
     return delete_clusters(state, [cluster_id]).select(*STATE).unionByName(moved.select(*STATE))
 
 
-# --- refinement --------------------------------------------------------------------------------------------------------
+# --- refinement ---
 
 
-def apply_moves(rows: list[tuple], rng: random.Random) -> tuple[dict, int, int]:
+def apply_moves(rows: list[tuple], rng: random.Random, size: dict[int, int] | None = None) -> tuple[dict, int, int]:
     """({feature: cluster}, possible, made) of rows (own, field, value, best): in shuffled order, a move is made with a chance
-    that falls as its cluster empties, so a cluster is never left without features."""
+    that falls as its cluster empties, so a cluster is never left without features. ``size`` has each cluster's features, counted from the rows if
+    they are all there are."""
     rows = sorted(rows, key=lambda r: (r[1], r[2]))
     rng.shuffle(rows)
-    size: dict[int, int] = {}
-    for own, *_ in rows:
-        size[own] = size.get(own, 0) + 1
+    if size is None:
+        size = {}
+        for own, *_ in rows:
+            size[own] = size.get(own, 0) + 1
     at, possible, made = {}, 0, 0
     for own, f, v, best in rows:
         at[f, v] = own
@@ -235,31 +246,97 @@ def apply_moves(rows: list[tuple], rng: random.Random) -> tuple[dict, int, int]:
     return at, possible, made
 
 
-def refine(members: DataFrame, state: DataFrame, iterations: int = 10, seed: int = 0) -> DataFrame:
-    """Moves features to their best clusters, some at a time. All pairs that share documents are scored in Spark; one row a feature comes
-    back for the moves, which depend on one another. Stops when no move is possible. The new state starts a new lineage."""
-    members = materialize(members.join(state.select(*FEATURE), FEATURE, "left_semi"), "cluster-members")
-    rng = random.Random(seed)
-    counts = state.select(*FEATURE, "doc_count")
-    state = materialize(state.select(*STATE), "clusters")
-    for _ in range(iterations):
-        at, possible, _made = apply_moves([tuple(r) for r in best_moves(members, state).collect()], rng)
-        if not possible:
+RUN = ["run", *FEATURE]
+
+
+def checks(features: int, clusters: int, sampling_rate: float | None = None) -> int:
+    """How many features one iteration looks at: by default a share of one in the root of the number of clusters, rounded up."""
+    if sampling_rate is None:
+        sampling_rate = 1 / max(1, clusters) ** 0.5
+    elif not 0 < sampling_rate <= 1:
+        raise ValueError(f"sampling_rate must be None or above 0 and at most 1, not {sampling_rate}")
+    return math.ceil(sampling_rate * features)
+
+
+def sampled_moves(members: DataFrame, state: DataFrame, picked: DataFrame) -> DataFrame:
+    """(run, own, field, value, best) of the features ``picked`` from a state (run, cluster_id, field, value, doc_count) of several clusterings.
+
+    Only their documents meet the clusters; clusterings never meet each other."""
+    cov = members.join(state.select("run", "cluster_id", *FEATURE), FEATURE).groupBy("run", "cluster_id", "doc_id").agg(F.count(F.lit(1)).alias("times"))
+    cov = materialize(cov, "cluster-coverage")
+    stats = state.groupBy("run", "cluster_id").agg(F.count(F.lit(1)).alias("n"), F.sum("doc_count").alias("total")).join(cov.groupBy("run", "cluster_id").agg(F.count(F.lit(1)).alias("docs_any")), ["run", "cluster_id"])
+    stats = materialize(stats.withColumn("objective", F.col("total") / (F.col("docs_any") + F.col("n"))), "cluster-stats")
+    stats = sized(stats, stats.count(), 128)
+    mine = picked.select("run", F.col("cluster_id").alias("own"), *FEATURE, "doc_count")
+    met = members.join(mine, FEATURE).join(cov, ["run", "doc_id"])
+    # of the own cluster the documents that nothing else of it has, of others those that they share
+    x = met.filter("cluster_id <> own or times = 1").groupBy("own", "cluster_id", *RUN, "doc_count").agg(F.count(F.lit(1)).alias("x"))
+    own = mine.withColumn("cluster_id", F.col("own")).join(x.filter("cluster_id = own").select(*RUN, "x"), RUN, "left").withColumn("x", F.coalesce("x", F.lit(0).cast("long")))
+    pairs = own.select("own", "cluster_id", *RUN, "doc_count", "x").unionByName(x.filter("cluster_id <> own").select("own", "cluster_id", *RUN, "doc_count", "x")).join(stats, ["run", "cluster_id"])
+    left = F.col("docs_any") - F.col("x")
+    stay = F.when((left > 0) & (F.col("x") < F.col("doc_count")), F.col("objective") - (F.col("total") - F.col("doc_count")) / (left + F.col("n") - 1)).otherwise(F.lit(-1.0))
+    go = (F.col("total") + F.col("doc_count")) / (F.col("docs_any") + F.col("doc_count") - F.col("x") + F.col("n") + 1) - F.col("objective")
+    delta = F.when(F.col("own") == F.col("cluster_id"), stay).otherwise(go)
+    best = pairs.groupBy("own", *RUN).agg(F.max(F.struct(delta.alias("delta"), "cluster_id"))["cluster_id"].alias("best"))
+    return best.select("run", "own", *FEATURE, "best")
+
+
+def refine_runs(members: DataFrame, state: DataFrame, iterations: int = 10, seed: int = 0, sampling_rate: float | None = None) -> DataFrame:
+    """Refines the clusterings of a state (run, cluster_id, field, value, doc_count) side by side, in the same jobs.
+
+    An iteration looks at a sample of each run's features, least by a hash that changes each time, see checks(). Pairs that share documents are scored
+    in Spark; the sampled features' best clusters come to the driver, where the moves depend on one another, together with each cluster's size, and
+    only the moves go back. A run ends when none of its sample would move with a full sample, or by the iterations."""
+    members = materialize(members.join(state.select(*FEATURE).distinct(), FEATURE, "left_semi"), "cluster-members")
+    state = materialize(state.select("run", *STATE), "clusters")
+    count = {r["run"]: (r["f"], r["k"]) for r in state.groupBy("run").agg(F.count(F.lit(1)).alias("f"), F.count_distinct("cluster_id").alias("k")).collect()}  # one row a run
+    budget = {run: checks(f, k, sampling_rate) for run, (f, k) in count.items()}
+    rng = {run: random.Random(f"{seed}:{run}") for run in budget}
+    spark = state.sparkSession
+    for i in range(iterations):
+        if not budget:
             break
-        new = state.sparkSession.createDataFrame([(c, f, v) for (f, v), c in sorted(at.items())], "cluster_id bigint, field string, value string")
-        state = materialize(new.join(counts, FEATURE).select(*STATE), "clusters")
+        most = spark.createDataFrame(list(budget.items()), "run bigint, most bigint")  # one row a run
+        order = Window.partitionBy("run").orderBy(F.xxhash64(F.lit(seed), F.lit(i), *FEATURE), *FEATURE)
+        picked = state.join(F.broadcast(most), "run").withColumn("_rank", F.row_number().over(order)).filter("_rank <= most").select("run", *STATE)
+        found: dict[int, list] = {}
+        for run, *row in sampled_moves(members, state, materialize(picked, "cluster-picked")).collect():
+            found.setdefault(run, []).append(tuple(row))
+        size: dict[int, dict[int, int]] = {}
+        for run, c, n in state.groupBy("run", "cluster_id").count().collect():
+            size.setdefault(run, {})[c] = n
+        moves = []
+        for run, rows in found.items():
+            at, possible, made = apply_moves(rows, rng[run], size[run])
+            if not possible and budget[run] == count[run][0]:
+                del budget[run]
+            own = {(f, v): c for c, f, v, _ in rows}
+            moves += [(run, f, v, c) for (f, v), c in at.items() if c != own[f, v]]
+        if moves:
+            new = materialize(spark.createDataFrame(moves, "run bigint, field string, value string, _to bigint"), "cluster-moves")
+            state = materialize(state.join(sized(new, len(moves), 160), RUN, "left").select("run", F.coalesce("_to", "cluster_id").alias("cluster_id"), *FEATURE, "doc_count"), "clusters")
     return state
 
 
-def refine_only(members: DataFrame, state: DataFrame, ids: list[int], iterations: int = 10, seed: int = 0) -> DataFrame:
+def refine(members: DataFrame, state: DataFrame, iterations: int = 10, seed: int = 0, sampling_rate: float | None = None) -> DataFrame:
+    """Moves features to their best clusters, some at a time, see refine_runs(). The new state starts a new lineage."""
+    return refine_runs(members, state.withColumn("run", F.lit(0).cast("long")), iterations, seed, sampling_rate).select(*STATE)
+
+
+def refine_only(members: DataFrame, state: DataFrame, ids: list[int], iterations: int = 10, seed: int = 0, sampling_rate: float | None = None) -> DataFrame:
     """Refine some clusters among themselves."""
     some = state.filter(F.col("cluster_id").isin(list(ids)))
-    return replace(state, refine(members, some, iterations, seed))
+    return replace(state, refine(members, some, iterations, seed, sampling_rate))
 
 
-def refine_many(members: DataFrame, states: dict[str, DataFrame], iterations: int = 10, seed: int = 0) -> dict[str, DataFrame]:
-    """Several clusterings, each refined on its own."""
-    return {name: refine(members, s, iterations, seed) for name, s in states.items()}
+def refine_many(members: DataFrame, states: dict[str, DataFrame], iterations: int = 10, seed: int = 0, sampling_rate: float | None = None) -> dict[str, DataFrame]:
+    """Several clusterings, each refined on its own, all in the same jobs."""
+    both = None
+    for run, s in enumerate(states.values()):
+        part = s.select(F.lit(run).cast("long").alias("run"), *STATE)
+        both = part if both is None else both.unionByName(part)
+    done = refine_runs(members, both, iterations, seed, sampling_rate) if both is not None else None
+    return {name: done.filter(F.col("run") == run).select(*STATE) for run, name in enumerate(states)}
 
 
 def as_features(members: DataFrame, state: DataFrame, field: str = "cluster") -> DataFrame:
@@ -283,15 +360,11 @@ def consensus(members: DataFrame, states: list[DataFrame], k: int, iterations: i
     return cluster_clusters(items, k, iterations, seed)
 
 
-def subdivide(members: DataFrame, state: DataFrame, k: int, iterations: int = 10, seed: int = 0) -> DataFrame:
-    """Each cluster split into k on its own: ids are old id * k + part."""
+def subdivide(members: DataFrame, state: DataFrame, k: int, iterations: int = 10, seed: int = 0, sampling_rate: float | None = None) -> DataFrame:
+    """Each cluster split into k on its own, all in the same jobs: ids are old id * k + part."""
     part = (F.row_number().over(Window.partitionBy("cluster_id").orderBy(hash_key(seed), *FEATURE)) - 1) % k
-    out = None
-    for (c,) in state.select("cluster_id").distinct().orderBy("cluster_id").collect():  # one row a cluster
-        own = state.filter(F.col("cluster_id") == c).withColumn("cluster_id", (F.lit(c) * k + part).cast("long"))
-        got = refine(members, own.select(*STATE), iterations, seed)
-        out = got if out is None else out.unionByName(got)
-    return out
+    runs = state.select(F.col("cluster_id").alias("run"), (F.col("cluster_id") * k + part).cast("long").alias("cluster_id"), *FEATURE, "doc_count")
+    return refine_runs(members, runs, iterations, seed, sampling_rate).select(*STATE)
 
 
 def split_then_refine(members: DataFrame, state: DataFrame, k: int, larger: int, iterations: int = 5, seed: int = 0) -> DataFrame:
@@ -309,3 +382,63 @@ def split_then_refine(members: DataFrame, state: DataFrame, k: int, larger: int,
     state = refine(members, state, iterations, seed)
     groups = cluster_clusters(as_features(members, state), k, iterations, seed).select(F.col("cluster_id").alias("grp"), F.col("value").cast("long").alias("cluster_id"))
     return state.join(groups, "cluster_id").select(F.col("grp").alias("cluster_id"), *FEATURE, "doc_count")
+
+
+# --- after changes of the index ---
+
+
+def recount(members: DataFrame, state: DataFrame) -> DataFrame:
+    """The clusters with document counts of another index's members; a feature that it lacks keeps its place with a count of 0."""
+    now = members.join(state.select(*FEATURE), FEATURE, "left_semi").groupBy(*FEATURE).agg(F.count(F.lit(1)).alias("_now"))
+    return state.join(now, FEATURE, "left").select("cluster_id", *FEATURE, F.coalesce("_now", F.lit(0).cast("long")).alias("doc_count"))
+
+
+class Clusterings(Plugin):
+    """Keeps a clustering in step with its index: after a rebuild counts and documents of all clusters are made anew, after edits those of the
+    clusters that changed. ``state`` and ``docs`` (cluster_id, doc_id) are the current tables."""
+
+    name, current = "clusterings", "1"
+    migrations = (Migration(None, "1", ()),)
+
+    def __init__(self, state: DataFrame):
+        super().__init__()
+        self.state, self.docs = state, None
+        self.changed: set[int] = set()
+
+    def edit(self, state: DataFrame, ids: list[int]) -> None:
+        """A new state, in which the clusters ``ids`` are not what they were."""
+        self.state = state
+        self.changed |= set(ids)
+
+    def post_index_rebuild(self, index: Index) -> None:
+        members = index.membership(*[f for f in index.kinds if index.kinds[f] != RANGE])
+        self.state = materialize(recount(members, self.state), "clusters")
+        self.docs = materialize(cluster_docs(members, self.state), "cluster-docs")
+        self.changed = set()
+
+    def post_transaction(self, index: Index) -> None:
+        if self.docs is None:
+            return self.post_index_rebuild(index)
+        if self.changed:
+            ids = F.col("cluster_id").isin(sorted(self.changed))
+            members = index.membership(*[f for f in index.kinds if index.kinds[f] != RANGE])
+            self.docs = materialize(self.docs.filter(~ids).unionByName(cluster_docs(members, self.state.filter(ids))), "cluster-docs")
+            self.changed = set()
+
+
+# --- cross-tabs ---
+
+
+def crosstab(index: Index, members: DataFrame, state: DataFrame, group: str, clusters: int = 3, features: int = 10) -> DataFrame:
+    """(grp, cluster_id, cluster_rank, field, value, hits, jaccard_similarity, rank): of each group the clusters most like its documents, and in each
+    of those the features most like them."""
+    groups = index.docs.select("doc_id", F.col(group).cast("string").alias("grp")).filter("grp is not null")
+    g = groups.groupBy("grp").agg(F.count(F.lit(1)).alias("g"))
+    cov = cluster_docs(members, state)
+    d = cov.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("d"))
+    like = lambda: (F.col("hits") / (F.col("d") + F.col("g") - F.col("hits"))).alias("jaccard_similarity")
+    x = cov.join(groups, "doc_id").groupBy("grp", "cluster_id").agg(F.count(F.lit(1)).alias("hits")).join(g, "grp").join(d, "cluster_id").select("grp", "cluster_id", like())
+    top = x.withColumn("cluster_rank", F.row_number().over(Window.partitionBy("grp").orderBy(F.desc("jaccard_similarity"), "cluster_id"))).filter(F.col("cluster_rank") <= clusters)
+    h = members.join(state.select("cluster_id", *FEATURE, F.col("doc_count").alias("d")), FEATURE).join(groups, "doc_id").groupBy("grp", "cluster_id", *FEATURE, "d").agg(F.count(F.lit(1)).alias("hits"))
+    y = h.join(top.select("grp", "cluster_id", "cluster_rank"), ["grp", "cluster_id"]).join(g, "grp").select("grp", "cluster_id", "cluster_rank", *FEATURE, "hits", like())
+    return y.withColumn("rank", F.row_number().over(Window.partitionBy("grp", "cluster_id").orderBy(F.desc("jaccard_similarity"), *FEATURE))).filter(F.col("rank") <= features)

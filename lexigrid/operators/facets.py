@@ -85,6 +85,16 @@ def crosstab(index: Index, group: str, field: str, min_docs: int = 10, k: int =
     return t.withColumn("rank", F.row_number().over(top)).filter(F.col("rank") <= k)
 
 
+def co_occurring(index: Index, group: str, k: int = 4) -> DataFrame:
+    """(grp, other, hits, rank): the k groups that most documents of each group have too; the group itself is left out. A document has as many
+    pairs as its groups have, squared, and they are combined before they travel."""
+    kept = index.docs.select(F.array_distinct(F.col(group).cast("array<string>")).alias("g")) if index.kinds[group] in (SEQUENCE, SET) else index.docs.select(F.array(F.col(group).cast("string")).alias("g"))
+    pairs = kept.select("g", F.explode("g").alias("grp")).select("grp", F.explode("g").alias("other")).filter("grp <> other")
+    counts = pairs.groupBy("grp", "other").agg(F.count(F.lit(1)).alias("hits"))
+    top = Window.partitionBy("grp").orderBy(F.desc("hits"), "other")
+    return counts.withColumn("rank", F.row_number().over(top)).filter(F.col("rank") <= k)
+
+
 def sample_docs(index: Index, k: int, seed: int = 0) -> DataFrame:
     """Up to k documents, uniformly without replacement, in random order: least hashes of seed and id."""
     return index.docs.orderBy(F.xxhash64(F.lit(seed), F.col("doc_id")), "doc_id").limit(k)

@@ -65,8 +65,8 @@ def browse(index: Index, members: DataFrame, state: DataFrame, clauses: Sequence
         ids = index.all_doc_ids()
     else:
         named = {c for clause in clauses for c in clause if isinstance(c, int)}
-        in_clusters = {c: [(r["field"], r["value"]) for r in C.cluster_features(state, c).collect()] for c in named}
-        ids = materialize(clause_query(index, clauses, in_clusters), "browse-docs")
+        in_clusters = C.cluster_docs(members, state.filter(F.col("cluster_id").isin(list(named)))) if named else None
+        ids = materialize(clause_query(index, clauses, cluster_docs=in_clusters), "browse-docs")
         top = materialize(facets.table_filter(C.facet_clusters(members, state, ids, total), "jaccard_similarity", True, top_clusters, 0, ("cluster_id",)), "browse-clusters")
         kept = state.join(F.broadcast(top.select("cluster_id")), "cluster_id", "left_semi")  # top_clusters rows
         feats = C.facet_features(members, kept, ids, total)
