@@ -7,8 +7,11 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from lexigrid.functions.tokenize import word_tokens
 from lexigrid.operators.index import running_sum
+from lexigrid.storage import materialize
 
 BLANK_LINES = r"\n[ \t\r\f\x0B]*\n\s*"
 
@@ -26,7 +29,8 @@ def paragraphs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def text_file(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
-    """(file, para_no, text) of text files by paragraph."""
+    """(file, para_no, text) of text files by paragraph. A file is one row until it is split, so it must be below 2 GB; larger
+    ones are read as lines and go through paragraphs_of_lines()."""
     raw = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.decode("content", encoding).alias("body"))
     return paragraphs(raw.withColumn("body", F.regexp_replace("body", "\r\n", "\n")), "file", "body")
 
@@ -54,12 +58,30 @@ def regroup(eav: DataFrame, order: str | None = None) -> DataFrame:
 
 
 def dense_ids(df: DataFrame, key: str, name: str = "doc_id") -> DataFrame:
-    """Consecutive ids from 0 in key order, by range totals and offsets; equal keys share the order of nothing else, so keys should be unique."""
-    return running_sum(df.withColumn("_one", F.lit(1)), key, "_one", name).withColumn(name, F.col(name) - 1).drop("_one")
+    """Consecutive ids from 0 in key order, by range totals and offsets. Keys may be of any ordered type; rows equal in key get
+    different ids, in any order."""
+    if isinstance(df.schema[key].dataType, T.NumericType):
+        unique = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").limit(1).count() == 0
+        if unique:
+            return running_sum(df.withColumn("_one", F.lit(1)), key, "_one", name).withColumn(name, F.col(name) - 1).drop("_one")
+    cut = materialize(df.repartitionByRange(key).withColumn("_part", F.spark_partition_id()), "dense-ids")
+    before = cut.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).select("_part", "_before")  # one row a range
+    inner = F.row_number().over(Window.partitionBy("_part").orderBy(key))
+    return cut.withColumn("_in", inner).join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_in") - 1).drop("_part", "_in", "_before")
+
+
+def eav_documents(eav: DataFrame, text: Sequence[str], sets: Sequence[str], order: str | None = None) -> DataFrame:
+    """One row a doc_id of (doc_id, field, value): text fields as sequences, the tokens of all their values in order; the others as sets of
+    the values that aren't null. A document without a field has an empty array."""
+    item = lambda f: F.when((F.col("field") == f) & F.col("value").isNotNull(), F.struct(F.col(order or "value").alias("_o"), F.col("value").alias("value")))
+    listed = lambda f: F.transform(F.sort_array(F.collect_list(item(f))), lambda s: s["value"])
+    got = eav.groupBy("doc_id").agg(*[F.flatten(F.transform(listed(f), word_tokens)).alias(f) for f in text], *[F.array_sort(F.array_distinct(listed(f))).alias(f) for f in sets])
+    return got
 
 
 def excel(spark: SparkSession, path: str, sheet: str) -> DataFrame:
-    """A sheet as strings, its first row as header. Needs openpyxl, which is optional."""
+    """A sheet as strings, its first row as header. Needs openpyxl, which is optional. The format ends at 1,048,576 rows, which is what
+    the driver holds."""
     try:
         from openpyxl import load_workbook
     except ImportError as e:
@@ -90,9 +112,12 @@ def join_candidates(tables: dict[str, Sequence[str]]) -> dict[str, dict[str, set
 
 
 def dedup_first(df: DataFrame, key: str, order: str) -> DataFrame:
-    """The first row of each key, by least (order): aggregated, not sorted, so a hot key is combined before it travels."""
-    first = df.groupBy(key).agg(F.min(order).alias(order))
-    return df.join(first, [key, order], "left_semi")
+    """One row of each key, that with the least (order); of rows that tie, the one least in the other columns. Null comes last.
+
+    Aggregated, not sorted by one task, so a hot key is combined before it travels."""
+    rest = [c for c in df.columns if c not in (key, order)]
+    row = F.struct(F.col(order).isNull().alias("_none"), F.col(order), *rest)
+    return df.groupBy(key).agg(F.min(row).alias("_row")).select(*[F.col(key) if c == key else F.col(f"_row.`{c}`").alias(c) for c in df.columns])
 
 
 def lookup(facts: DataFrame, dimension: DataFrame, on, columns: Sequence[str], default: str | None = None) -> DataFrame:
@@ -101,7 +126,7 @@ def lookup(facts: DataFrame, dimension: DataFrame, on, columns: Sequence[str], d
     return got.withColumns({c: F.coalesce(F.col(c), F.lit(default)) for c in columns}) if default is not None else got
 
 
-# --- transcripts -------------------------------------------------------------------------------------------------------
+# --- transcripts ---
 
 
 def split_speaker(df: DataFrame, text_col: str) -> DataFrame:
@@ -125,13 +150,14 @@ def rolling_turns(turns: DataFrame, file: str, order: str, speaker: str, text: s
     return rows.select(file, order, F.explode(F.filter("_a", lambda s: s["text"].isNotNull())).alias("r")).select(file, order, "r.offset", "r.speaker", "r.text")
 
 
-def turn_features(tokens: Column, offset: Column) -> Column:
-    """Array of (field, value) of one turn: all, initial, medial and final tokens of tN."""
+def turn_features(tokens: Column, offset: Column, speaker: Column | None = None) -> Column:
+    """Array of (field, value) of one turn: all, initial, medial and final tokens of tN, and its speaker if given and not null."""
     name = F.concat(F.lit("t"), offset.cast("string"))
     tag = lambda suffix, values: F.transform(values, lambda v: F.struct(F.concat(name, F.lit(suffix)).alias("field"), v.alias("value")))
     one = lambda i: F.array_compact(F.array(F.try_element_at(tokens, F.lit(i))))
     medial = F.slice(tokens, 2, F.greatest(F.size(tokens) - 2, F.lit(0)))
-    return F.concat(tag("", tokens), tag(",initial", one(1)), tag(",medial", medial), tag(",final", one(-1)))
+    made = [tag("", tokens), tag(",initial", one(1)), tag(",medial", medial), tag(",final", one(-1))]
+    return F.concat(*made, *([tag(",speaker", F.array_compact(F.array(speaker)))] if speaker is not None else []))
 
 
 def context(df: DataFrame, id_col: str, keys: DataFrame, width: int = 2) -> DataFrame:
@@ -140,7 +166,7 @@ def context(df: DataFrame, id_col: str, keys: DataFrame, width: int = 2) -> Data
     return near.join(df, id_col)
 
 
-# --- mail --------------------------------------------------------------------------------------------------------------
+# --- mail ---
 
 #: Lines that quote somebody else or head a quotation.
 QUOTED = r"writes in|(?:writes|wrote|says|said):\s*$|^\s*(?:In article|Quoted from|[|>}{#\]:+])"
@@ -174,7 +200,10 @@ def mark_lines(df: DataFrame, id_col: str, body: str) -> DataFrame:
     """(id, line_no, line, ignored): quoted lines and lines of a repeated signature are to be ignored; blank lines are dropped."""
     sigs = repeated_signatures(df, body).select("signature", F.lit(True).alias("_repeated"))
     text = F.regexp_replace(F.col(body), r"^\s+|\s+$", "")
-    rows = df.select(F.col(id_col), F.split(text, PARAGRAPH_BREAK).alias("_p"), signature(F.col(body)).alias("signature")).join(sigs, "signature", "left")
+    rows = df.select(F.col(id_col), F.split(text, PARAGRAPH_BREAK).alias("_p"), signature(F.col(body)).alias("_own"))
+    # documents without a signature get a key of their own, so that they don't meet in one task
+    key = F.coalesce("_own", F.concat(F.lit("\0"), F.xxhash64(id_col, "_p").cast("string")))
+    rows = rows.withColumn("signature", key).join(sigs, "signature", "left")
     last = F.size("_p") - 1
     lines = F.flatten(F.transform("_p", lambda p, i: F.transform(F.filter(F.split(p, "\n"), lambda x: F.trim(x) != ""), lambda x: F.struct(x.alias("line"), (F.coalesce(F.col("_repeated"), F.lit(False)) & (i == last)).alias("sig")))))
     out = rows.select(id_col, F.posexplode(lines).alias("line_no", "l"))
