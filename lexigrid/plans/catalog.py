@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,10 +11,10 @@ from lexigrid.functions.tokenize import boundary_tokens, display_tokens, word_to
 from lexigrid.operators import clusters as C
 from lexigrid.operators import facets, positions, views
 from lexigrid.operators.index import Index, cumulative, documents_spec, prefix_range
-from lexigrid.operators.query import AndNot, MatchAll, MatchAny, MatchPhrase, clause_query
+from lexigrid.operators.query import AndNot, MatchAll, MatchAny, MatchPhrase, add_clause, clause_query, clauses_from_querystring, clauses_to_querystring, from_rows, search, split_features, to_rows
 from lexigrid.sources import tables as S
-from lexigrid.spec import RANGE, SCALAR, CorpusSpec, FieldSpec, spec_of
-from lexigrid.storage import materialize, spread
+from lexigrid.spec import RANGE, SCALAR, SET, CorpusSpec, FieldSpec, spec_of
+from lexigrid.storage import materialize, shared_dir, spread
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -43,7 +45,7 @@ def documents(spark: SparkSession, sf: str) -> Index:
     return Index.build(spread(table(spark, sf, "documents")), documents_spec())
 
 
-# --- tokens and features -----------------------------------------------------------------------------------------------
+# --- tokens and features ---
 
 
 @query("field_features_text", f"WITH {P} SELECT value, CAST(count(*) AS BIGINT) AS doc_count, CAST(sum(tf) AS BIGINT) AS location_count, count(*) / CAST({N} AS DOUBLE) AS relative_doc_count FROM p GROUP BY value HAVING count(*) >= 10")
@@ -107,7 +109,7 @@ def _(spark, sf):
     return i.docs.select("doc_id", (F.size(F.array_distinct("text")) + sum(F.col(c).isNotNull().cast("int") for c in ("lang", "source", "n_chars"))).cast("long").alias("features"))
 
 
-# --- lookups and boolean queries ---------------------------------------------------------------------------------------
+# --- lookups and boolean queries ---
 
 
 def _matches(name: str, where: str, build):
@@ -154,7 +156,7 @@ def _(spark, sf):
     return i.docs.select("doc_id", sum((i.predicate(f).cast("int") for f in fs), F.lit(0)).cast("long").alias("matched"))
 
 
-# --- positions ---------------------------------------------------------------------------------------------------------
+# --- positions ---
 
 
 def _phrase(name: str, where: str, *features):
@@ -186,12 +188,12 @@ def _(spark, sf):
     return positions.feature_passages(documents(spark, sf), ("text", "the"))
 
 
-@query("passages_to_docs", f"WITH {LAYOUT} SELECT DISTINCT doc_id FROM z WHERE (first_passage + passages - 1) // 7 > (first_passage - 1) // 7")
+@query("passages_to_docs", f"WITH {LAYOUT}, k AS (SELECT doc_id, pos // 16 AS p FROM l WHERE value = 'the'), w AS (SELECT first_passage + p AS passage FROM k JOIN z USING (doc_id) UNION SELECT first_passage + p + 1 FROM k JOIN z USING (doc_id)) SELECT DISTINCT doc_id FROM z JOIN w ON passage BETWEEN first_passage AND first_passage + passages - 1")
 def _(spark, sf):
-    layout = positions.passage_layout(documents(spark, sf), "text")
-    end = layout.agg(F.max(F.col("first_passage") + F.col("passages")).alias("e"))
-    every7 = end.select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("e"), F.lit(7).cast("long"))).alias("passage"))
-    return positions.passages_to_docs(every7, layout)
+    i = documents(spark, sf)
+    layout = materialize(positions.passage_layout(i, "text"), "layout")
+    wanted = positions.feature_passages(i, ("text", "the")).join(layout, "doc_id").select((F.col("first_passage") + F.col("passage")).alias("passage"))
+    return positions.passages_to_docs(wanted, layout)
 
 
 @query("concordance", f"WITH {L} SELECT doc_id, CAST(pos AS BIGINT) AS pos, value, array_to_string(list_slice(a, greatest(pos - 4, 1), pos), ' ') AS before, array_to_string(list_slice(a, pos + 2, pos + 6), ' ') AS after FROM l WHERE value >= 'tha' AND value < 'thb'")
@@ -217,7 +219,7 @@ def _(spark, sf):
     return positions.highlight(documents(spark, sf), "text", [("text", "the"), ("text", "of", "og")]).select("doc_id", F.md5("text").alias("marked"))
 
 
-# --- facets ------------------------------------------------------------------------------------------------------------
+# --- facets ---
 
 STATS = "d AS doc_count, d / CAST(n AS DOUBLE) AS relative_doc_count, h AS hits, h / CAST(n AS DOUBLE) AS relative_hits, h / CAST(nullif(d + q - h, 0) AS DOUBLE) AS jaccard_similarity, h / CAST(nullif(d, 0) AS DOUBLE) AS feature_proportion, h / CAST(nullif(q, 0) AS DOUBLE) AS query_proportion"
 QD = f"WITH {D}, qd AS (SELECT *, ({HAS('the')})::INT AS hit FROM d), t AS (SELECT count(*) AS n, sum(hit) AS q FROM qd)"
@@ -265,7 +267,7 @@ def _(spark, sf):
     return facets.sample_docs(documents(spark, sf), 20, 1).select("doc_id", "lang", "source", "n_chars")
 
 
-# --- sources -----------------------------------------------------------------------------------------------------------
+# --- sources ---
 
 
 @query("rolling_turns", "WITH t AS (SELECT conv_id, turn, role, text FROM conversations), w AS (SELECT *, lead(coalesce(text, ''), 1) OVER v AS t1, lead(coalesce(text, ''), 2) OVER v AS t2, lead(coalesce(role, ''), 1) OVER v AS r1, lead(coalesce(role, ''), 2) OVER v AS r2 FROM t WINDOW v AS (PARTITION BY conv_id ORDER BY turn)) SELECT conv_id, turn, 1 AS \"offset\", coalesce(role, '') AS speaker, coalesce(text, '') AS text FROM w UNION ALL SELECT conv_id, turn, 2, r1, t1 FROM w WHERE t1 IS NOT NULL UNION ALL SELECT conv_id, turn, 3, r2, t2 FROM w WHERE t2 IS NOT NULL")
@@ -273,9 +275,9 @@ def _(spark, sf):
     return S.rolling_turns(table(spark, sf, "conversations"), "conv_id", "turn", "role", "text")
 
 
-@query("turn_position_features", f"WITH t AS (SELECT conv_id, turn, {TOK} AS a FROM conversations), f AS (SELECT conv_id, turn, 't1' AS field, unnest(a) AS value FROM t UNION ALL SELECT conv_id, turn, 't1,initial', a[1] FROM t WHERE len(a) > 0 UNION ALL SELECT conv_id, turn, 't1,final', a[len(a)] FROM t WHERE len(a) > 0 UNION ALL SELECT conv_id, turn, 't1,medial', unnest(list_slice(a, 2, len(a) - 1)) FROM t WHERE len(a) > 2) SELECT field, value, CAST(count(*) AS BIGINT) AS n FROM f GROUP BY ALL")
+@query("turn_position_features", f"WITH t AS (SELECT conv_id, turn, role, {TOK} AS a FROM conversations), f AS (SELECT conv_id, turn, 't1' AS field, unnest(a) AS value FROM t UNION ALL SELECT conv_id, turn, 't1,initial', a[1] FROM t WHERE len(a) > 0 UNION ALL SELECT conv_id, turn, 't1,final', a[len(a)] FROM t WHERE len(a) > 0 UNION ALL SELECT conv_id, turn, 't1,medial', unnest(list_slice(a, 2, len(a) - 1)) FROM t WHERE len(a) > 2 UNION ALL SELECT conv_id, turn, 't1,speaker', role FROM t WHERE role IS NOT NULL) SELECT field, value, CAST(count(*) AS BIGINT) AS n FROM f GROUP BY ALL")
 def _(spark, sf):
-    rows = table(spark, sf, "conversations").select(F.explode(S.turn_features(word_tokens(F.col("text")), F.lit(1))).alias("f"))
+    rows = table(spark, sf, "conversations").select(F.explode(S.turn_features(word_tokens(F.col("text")), F.lit(1), F.col("role"))).alias("f"))
     return rows.groupBy("f.field", "f.value").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -353,15 +355,162 @@ def _(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.array_join(F.array_sort(S.line_starts(F.col("text"))), "").alias("starts"))
 
 
-@query("parse_post", "SELECT page_id, url AS host, 'body of ' || page_id AS body FROM pages")
+@query("parse_post", r"WITH s AS (SELECT page_id, replace(html, chr(13) || chr(10), chr(10)) AS t FROM pages) SELECT page_id, md5(CASE WHEN strpos(t, chr(10) || chr(10)) > 0 THEN substr(t, strpos(t, chr(10) || chr(10)) + 2) ELSE '' END) AS body FROM s")
+def _(spark, sf):
+    return S.parse_post(table(spark, sf, "pages").select("page_id", "html"), "html").select("page_id", F.md5("body").alias("body"))
+
+
+@query("dense_ids_of_strings", "SELECT c_name, CAST(row_number() OVER (ORDER BY c_name) - 1 AS BIGINT) AS doc_id FROM customer")
+def _(spark, sf):
+    return S.dense_ids(table(spark, sf, "customer").select("c_name"), "c_name").select("c_name", F.col("doc_id").cast("long").alias("doc_id"))
+
+
+@query("eav_documents", f"WITH e AS (SELECT p_brand AS b, string_agg(lower(p_type), ' ' ORDER BY p_type, p_partkey) AS t, list_sort(list_distinct(list(CAST(p_size AS VARCHAR)))) AS s FROM part GROUP BY p_brand) SELECT dense_rank() OVER (ORDER BY b) AS doc_id, md5(array_to_string(regexp_extract_all(t, '{WORDS}'), ' ')) AS p_type, array_to_string(s, ' ') AS p_size FROM e")
+def _(spark, sf):
+    part = table(spark, sf, "part")
+    ids = S.dense_ids(part.select("p_brand").distinct(), "p_brand").select("p_brand", (F.col("doc_id") + 1).cast("long").alias("doc_id"))
+    eav = S.unpivot(part.join(ids, "p_brand"), "doc_id", ["p_type", "p_size"])
+    return S.eav_documents(eav, ["p_type"], ["p_size"]).select("doc_id", F.md5(F.array_join("p_type", " ")).alias("p_type"), F.array_join("p_size", " ").alias("p_size"))
+
+
+@query("parquet_by_ids", "SELECT doc_id, lang, source FROM documents WHERE doc_id IN (1, 5, 77, 1000000)")
+def _(spark, sf):
+    return S.parquet(spark, f"{sf}/documents.parquet", "doc_id", [1, 5, 77, 1000000]).select("doc_id", "lang", "source")
+
+
+@query("paragraphs_of_lines", r"WITH s AS (SELECT doc_id, string_split(replace(text, '. ', chr(10) || chr(10)), chr(10)) AS a FROM documents), l AS (SELECT doc_id, i, a[i] AS line, trim(regexp_replace(a[i], '\s', '', 'g')) = '' AS blank FROM (SELECT doc_id, a, unnest(generate_series(1, len(a))) AS i FROM s)), m AS (SELECT *, NOT blank AND coalesce(lag(blank) OVER w, true) AS start FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY i)), n AS (SELECT *, sum(start::INT) OVER (PARTITION BY doc_id ORDER BY i) - 1 AS para_no FROM m) SELECT doc_id, CAST(para_no AS BIGINT) AS para_no, md5(string_agg(line, chr(10) ORDER BY i)) AS body FROM n WHERE NOT blank GROUP BY doc_id, para_no")
+def _(spark, sf):
+    lines = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split(F.replace("text", F.lit(". "), F.lit("\n\n")), "\n")).alias("line_no", "line"))
+    return S.paragraphs_of_lines(lines, "doc_id").select("doc_id", "para_no", F.md5("text").alias("body"))
+
+
+@query("split_speaker", r"SELECT conv_id, turn, CASE WHEN len(p) = 2 THEN p[1] END AS speaker, md5(CASE WHEN len(p) = 2 THEN p[2] ELSE raw END) AS said FROM (SELECT conv_id, turn, role || ':' || chr(9) || text AS raw, string_split(role || ':' || chr(9) || text, ':' || chr(9)) AS p FROM conversations)")
+def _(spark, sf):
+    raw = table(spark, sf, "conversations").select("conv_id", F.col("turn").alias("no"), F.concat(F.col("role"), F.lit(":\t"), F.col("text")).alias("raw"))
+    return S.split_speaker(raw, "raw").select("conv_id", F.col("no").alias("turn"), "speaker", F.md5("turn").alias("said"))
+
+
+@query("path_parts", "SELECT page_id, array_to_string(list_slice(p, 2, len(p) - 1), '/') AS folder, p[-1] AS name FROM (SELECT page_id, string_split(url, '/') AS p FROM pages)")
+def _(spark, sf):
+    folder, name = S.path_parts(F.col("url"))
+    return table(spark, sf, "pages").select("page_id", folder.alias("folder"), name.alias("name"))
+
+
+@query("post_fields", r"WITH s AS (SELECT doc_id, lang, source, string_split(regexp_replace(text, '^\s+|\s+$', '', 'g'), chr(10)) AS a FROM documents WHERE text IS NOT NULL) SELECT doc_id, 'about ' || lang AS subject, lang || '|' || source AS newsgroup, source AS sender, DATE '1993-04-05' AS date, array_to_string(list_sort(list_distinct(list_filter(list_transform(a, lambda x: x[1:1]), lambda c: c <> ''))), '') AS line_start FROM s")
+def _(spark, sf):
+    d = table(spark, sf, "documents").filter("text is not null")
+    head = F.concat(F.lit("Subject: about "), F.col("lang"), F.lit("\nNewsgroups: "), F.col("lang"), F.lit(", "), F.col("source"), F.lit("\nFrom: "), F.col("source"), F.lit("\nDate: Mon, 5 Apr 1993 10:00:00 GMT\n\n"))
+    got = S.post_fields(d.select("doc_id", F.concat(head, F.regexp_replace("text", r"^\s+|\s+$", "")).alias("raw")), "doc_id", "raw")
+    return got.select("doc_id", "subject", F.array_join("newsgroup", "|").alias("newsgroup"), F.col("from").alias("sender"), "date", F.array_join(F.array_sort("line_start"), "").alias("line_start"))
+
+
+@query("sheet_defaults", "SELECT o_orderkey, coalesce(nullif(c_mktsegment, ''), '<Not assigned>') AS segment FROM orders LEFT JOIN customer ON o_custkey = c_custkey AND c_acctbal > 0")
+def _(spark, sf):
+    c = table(spark, sf, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment")
+    return S.lookup(table(spark, sf, "orders"), c, "o_custkey", ["c_mktsegment"]).select("o_orderkey", S.or_default(F.col("c_mktsegment")).alias("segment"))
+
+
+# --- ids, codecs and stored indexes ---
+
+
+@query("doc_ids_extent", "SELECT CAST(count(*) AS BIGINT) AS total, max(doc_id) AS max_doc_id FROM documents")
+def _(spark, sf):
+    i = documents(spark, sf)
+    return spark.createDataFrame([(i.total(), i.max_doc_id())], "total bigint, max_doc_id bigint")
+
+
+@query("docs_of_keys", "SELECT d.doc_id, source FROM documents d JOIN (SELECT DISTINCT doc_id FROM labels) USING (doc_id)")
+def _(spark, sf):
+    i = documents(spark, sf)
+    return i.fetch(table(spark, sf, "labels").select("doc_id").distinct()).select("doc_id", "source")
+
+
+@query("keys_of_ids", "SELECT d.doc_id, source FROM documents d JOIN (SELECT doc_id FROM labels WHERE quality = 1) USING (doc_id)")
+def _(spark, sf):
+    return documents(spark, sf).keys(table(spark, sf, "labels").filter("quality = 1").select("doc_id"), "source")
+
+
+@query("match_literal_of_range", f"WITH {D} SELECT doc_id FROM d WHERE n_chars = (SELECT min(n_chars) FROM documents)")
+def _(spark, sf):
+    i = documents(spark, sf)
+    return i.lookup(("n_chars", i.docs.agg(F.min("n_chars")).first()[0]))
+
+
+@query("range_positions", f"WITH {L} SELECT doc_id, CAST(pos AS BIGINT) AS pos, value FROM l WHERE value >= 'of' AND value < 'og'")
+def _(spark, sf):
+    return positions.hits(documents(spark, sf), [("text", "of", "og")])
+
+
+@query("search_phrase", f"WITH {L} SELECT DISTINCT l0.doc_id FROM l l0 JOIN l l1 ON l1.doc_id = l0.doc_id AND l1.pos = l0.pos + 1 WHERE l0.value = 'of' AND l1.value = 'this'")
+def _(spark, sf):
+    return search(["of", "this"], "text", "phrase").evaluate(documents(spark, sf))
+
+
+def _query_round_trip(i: Index):
+    q = MatchAll(MatchAny(("text", "the"), ("text", "der")), ("n_chars", 500, None))
+    return from_rows(to_rows(q, i.codec), i.codec).evaluate(i)
+
+
+def _clauses_round_trip(i: Index):
+    text = clauses_to_querystring(add_clause([[("text", "the"), ("lang", "fr")], [("n_chars", None, 9000)]], [("lang", "fr"), ("lang", "en")]), i.codec)
+    return clause_query(i, clauses_from_querystring(text, i.codec))
+
+
+def _split_features(i: Index):
+    literals, ranges = split_features([("lang", "en"), ("text", "tha", "thb"), ("text", "of")])
+    return MatchAll(*literals, *ranges).evaluate(i)
+
+
+_matches("query_rows", f"({HAS('the')} OR {HAS('der')}) AND n_chars >= 500", _query_round_trip)
+_matches("clause_querystring", f"{HAS('the')} AND n_chars < 9000 AND (lang = 'fr' OR lang = 'en')", _clauses_round_trip)
+_matches("split_query_features", f"lang = 'en' AND {BETWEEN('tha', 'thb')} AND {HAS('of')}", _split_features)
+
+
+def _stored(spark, sf) -> Index:
+    """The test index written to the shared folder and read back, so that lookups go to its postings."""
+    path = f"{shared_dir(spark)}/lexigrid/index-{uuid.uuid4().hex}"
+    documents(spark, sf).write(path)
+    return Index.read(spark, path)
+
+
+def _stored_match(name: str, where: str, build):
+    QUERIES[name] = lambda spark, sf: build(_stored(spark, sf))
+    ORACLES[name] = f"WITH {D} SELECT doc_id FROM d WHERE {where}"
+
+
+_stored_match("stored_boolean", f"({HAS('la')} AND ({HAS('et')} OR {HAS('y')})) OR n_chars < 200 OR ({BETWEEN('tha', 'thb')} AND NOT {HAS('was')})", lambda i: MatchAny(MatchAll(("text", "la"), MatchAny(("text", "et"), ("text", "y"))), ("n_chars", None, 200), AndNot(("text", "tha", "thb"), ("text", "was"))).evaluate(i))
+
+
+@query("stored_phrase", f"WITH {L} SELECT DISTINCT l0.doc_id FROM l l0 JOIN l l1 ON l1.doc_id = l0.doc_id AND l1.pos = l0.pos + 1 WHERE l0.value = 'the' AND l1.value >= 'th' AND l1.value < 'ti'")
 def _(spark, sf):
-    raw = table(spark, sf, "pages").select("page_id", F.concat(F.lit("Subject: page\nHost: "), F.col("url"), F.lit("\n\nbody of "), F.col("page_id")).alias("raw"))
-    return S.parse_post(raw, "raw").select("page_id", F.col("headers")["host"].alias("host"), "body")
+    return MatchPhrase((("text", "the"), ("text", "th", "ti"))).evaluate(_stored(spark, sf))
 
 
-# --- clusters ----------------------------------------------------------------------------------------------------------
+@query("stored_counts", f"WITH {P} SELECT CAST(count(*) AS BIGINT) AS doc_count, CAST(sum(tf) AS BIGINT) AS location_count FROM p WHERE value = 'of'")
+def _(spark, sf):
+    return _stored(spark, sf).counts(("text", "of"))
 
-K, MIN_DOCS = 8, 60
+
+@query("facet_panel", f"{QD}, f AS (SELECT unnest(list_distinct(a)) AS value, hit FROM qd), g AS (SELECT 'text' AS field, value, CAST(count(*) AS BIGINT) AS d, CAST(sum(hit) AS BIGINT) AS h FROM f GROUP BY value) SELECT field, value, {STATS} FROM g, t WHERE h > 0 ORDER BY jaccard_similarity DESC, field, value LIMIT 15")
+def _(spark, sf):
+    i = documents(spark, sf)
+    return views.panels(i, i.lookup(("text", "the")), [views.Panel("words", ("text",))])["words"]
+
+
+@query("concordance_html", f"WITH {L} SELECT doc_id, CAST(pos AS BIGINT) AS pos, md5('<tr><td>' || replace(replace(replace(array_to_string(list_slice(a, greatest(pos - 1, 1), pos), ' '), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</td><td><mark>' || value || '</mark></td><td>' || replace(replace(replace(array_to_string(list_slice(a, pos + 2, pos + 3), ' '), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</td></tr>') AS html FROM l WHERE value = 'of'")
+def _(spark, sf):
+    return positions.concordance_html(positions.concordance(documents(spark, sf), ("text", "of"), 2)).withColumn("html", F.md5("html"))
+
+
+@query("co_occurring_groups", "WITH s AS (SELECT doc_id, list_distinct(list_filter(list_transform(string_split(text, chr(10)), lambda x: x[1:1]), lambda c: c <> '')) AS a FROM documents), e AS (SELECT doc_id, unnest(a) AS v FROM s), c AS (SELECT x.v AS grp, y.v AS other, CAST(count(*) AS BIGINT) AS hits FROM e x JOIN e y ON x.doc_id = y.doc_id AND x.v <> y.v GROUP BY ALL), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY grp ORDER BY hits DESC, other) AS INT) AS rank FROM c) SELECT * FROM r WHERE rank <= 4")
+def _(spark, sf):
+    i = Index.build(table(spark, sf, "documents"), CorpusSpec((FieldSpec("starts", SET, S.line_starts(F.col("text"))),)))
+    return facets.co_occurring(i, "starts", 4)
+
+
+# --- clusters ---
+
+K, MIN_DOCS = 8, 10
 CL = f"{P}, fc AS (SELECT 'text' AS field, value, CAST(count(*) AS BIGINT) AS doc_count FROM p GROUP BY value HAVING count(*) >= {MIN_DOCS}), st AS (SELECT CAST((row_number() OVER (ORDER BY substr(md5('0:text:' || value), 1, 15), value) - 1) % {K} + 1 AS BIGINT) AS cluster_id, field, value, doc_count FROM fc), m AS (SELECT cluster_id, field, value, doc_id, doc_count FROM p JOIN st USING (value)), cov AS (SELECT cluster_id, doc_id, count(*) AS times FROM m GROUP BY ALL), cs AS (SELECT cluster_id, n, total, docs_any, total / CAST(docs_any + n AS DOUBLE) AS objective FROM (SELECT cluster_id, count(*) AS n, CAST(sum(doc_count) AS BIGINT) AS total FROM st GROUP BY cluster_id) JOIN (SELECT cluster_id, count(*) AS docs_any FROM cov GROUP BY cluster_id) USING (cluster_id))"
 QL = "ql AS (SELECT doc_id FROM d WHERE lang = 'en'), t AS (SELECT (SELECT count(*) FROM documents) AS n, count(*) AS q FROM ql)"
 
@@ -488,33 +637,64 @@ def _(spark, sf):
     return C.matching_features(C.facet_features(members, state, i.lookup(("lang", "en")), i.total()))
 
 
-@query("crosstab_top_clusters", f"WITH {CL}, g AS (SELECT lang AS grp, count(*) AS g FROM documents GROUP BY lang), h AS (SELECT d.lang AS grp, cluster_id, count(*) AS h FROM cov JOIN d USING (doc_id) GROUP BY ALL), x AS (SELECT grp, cluster_id, CAST(h AS BIGINT) AS hits, h / CAST(docs_any + g - h AS DOUBLE) AS jaccard_similarity FROM h JOIN g USING (grp) JOIN cs USING (cluster_id)), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY grp ORDER BY jaccard_similarity DESC, cluster_id) AS INT) AS rank FROM x) SELECT * FROM r WHERE rank <= 3")
+XT = f"{CL}, g AS (SELECT lang AS grp, count(*) AS g FROM documents GROUP BY lang), h AS (SELECT d.lang AS grp, cluster_id, count(*) AS h FROM cov JOIN d USING (doc_id) GROUP BY ALL), x AS (SELECT grp, cluster_id, h / CAST(docs_any + g - h AS DOUBLE) AS j FROM h JOIN g USING (grp) JOIN cs USING (cluster_id)), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY grp ORDER BY j DESC, cluster_id) AS INT) AS cluster_rank FROM x)"
+
+
+@query("crosstab_top_clusters", f"WITH {XT}, y AS (SELECT d.lang AS grp, cluster_id, field, value, m.doc_count, CAST(count(*) AS BIGINT) AS hits FROM m JOIN d USING (doc_id) GROUP BY ALL), z AS (SELECT grp, cluster_id, cluster_rank, field, value, hits, hits / CAST(doc_count + g - hits AS DOUBLE) AS jaccard_similarity FROM y JOIN r USING (grp, cluster_id) JOIN g USING (grp) WHERE cluster_rank <= 3), q AS (SELECT *, CAST(row_number() OVER (PARTITION BY grp, cluster_id ORDER BY jaccard_similarity DESC, field, value) AS INT) AS rank FROM z) SELECT * FROM q WHERE rank <= 10")
+def _(spark, sf):
+    i, members, state = _kept(spark, sf)
+    return C.crosstab(i, members, state, "lang")
+
+
+@query("suggested_clustering_fields", "SELECT 'text' AS field")
+def _(spark, sf):
+    return spark.createDataFrame([(f,) for f in documents(spark, sf).suggested_clustering_fields()], "field string")
+
+
+@query("cluster_delete_features", f"WITH {CL} SELECT cluster_id, field, value, doc_count FROM st WHERE NOT (value >= 'a' AND value < 'b')")
+def _(spark, sf):
+    state = _kept(spark, sf)[2]
+    return C.delete_features(state, state.filter("value >= 'a' and value < 'b'"))
+
+
+@query("cluster_one", f"WITH {CL} SELECT cluster_id, field, value, doc_count FROM st WHERE cluster_id = 3 ORDER BY doc_count DESC, field, value LIMIT 12")
+def _(spark, sf):
+    return C.cluster_features(_clusters(spark, sf)[2], 3, 12)
+
+
+@query("cluster_labels", f"WITH {CL}, r AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY doc_count DESC, field, value) AS k FROM st) SELECT cluster_id, string_agg(value, ', ' ORDER BY k) AS label FROM r WHERE k <= 3 GROUP BY cluster_id")
+def _(spark, sf):
+    return C.label(_clusters(spark, sf)[2])
+
+
+@query("cluster_recount", f"WITH {CL}, e AS (SELECT value, CAST(count(*) AS BIGINT) AS n FROM p JOIN d USING (doc_id) WHERE lang = 'en' GROUP BY value) SELECT cluster_id, field, value, coalesce(n, 0) AS doc_count FROM st LEFT JOIN e USING (value)")
+def _(spark, sf):
+    i, _, state = _kept(spark, sf)
+    return C.recount(Index(i.docs.filter("lang = 'en'"), i.kinds).membership("text"), state)
+
+
+@query("browse_clause_of_clusters", f"WITH {CL} SELECT doc_id FROM d WHERE (lang = 'fr' OR doc_id IN (SELECT doc_id FROM cov WHERE cluster_id IN (2, 3))) AND {HAS('the')}")
 def _(spark, sf):
     i, members, state = _kept(spark, sf)
-    cov = C.coverage(members, state)
-    g = i.docs.groupBy(F.col("lang").alias("grp")).agg(F.count(F.lit(1)).alias("g"))
-    h = cov.join(i.docs.select("doc_id", F.col("lang").alias("grp")), "doc_id").groupBy("grp", "cluster_id").agg(F.count(F.lit(1)).alias("hits"))
-    x = h.join(g, "grp").join(C.cluster_stats(cov, state), "cluster_id").select("grp", "cluster_id", "hits", facets.ratio(F.col("hits"), F.col("docs_any") + F.col("g") - F.col("hits")).alias("jaccard_similarity"))
-    top = Window.partitionBy("grp").orderBy(F.desc("jaccard_similarity"), "cluster_id")
-    return x.withColumn("rank", F.row_number().over(top)).filter("rank <= 3")
+    return clause_query(i, [[("lang", "fr"), 2, 3], [("text", "the")]], cluster_docs=C.cluster_docs(members, state))
 
 
 @query("cluster_refine")
 def _(spark, sf):
     _, members, state = _kept(spark, sf)
-    return C.refine(members, state, 3, 42)
+    return C.refine(members, state, 10, 42)
 
 
 @query("cluster_clusters")
 def _(spark, sf):
     _, members, state = _kept(spark, sf)
-    return C.cluster_clusters(C.as_features(members, state), 3, 3, 42)
+    return C.cluster_clusters(C.as_features(members, state), 3, 10, 42)
 
 
 @query("consensus")
 def _(spark, sf):
     i, members, state = _kept(spark, sf)
-    return C.consensus(members, [state, C.merge(state, [1, 2])], 3, 3, 42)
+    return C.consensus(members, [state, C.merge(state, [1, 2])], 3, 10, 42)
 
 
 @query("browse_clusters", f"WITH {CL}, {QL}, g AS (SELECT cluster_id, CAST(count(*) AS BIGINT) AS d, CAST(count(ql.doc_id) AS BIGINT) AS h FROM cov LEFT JOIN ql USING (doc_id) GROUP BY cluster_id) SELECT cluster_id, h AS hits, h / CAST(d + q - h AS DOUBLE) AS jaccard_similarity FROM g, t WHERE h > 0 ORDER BY jaccard_similarity DESC, cluster_id LIMIT 5")
