@@ -130,6 +130,21 @@ def test_mixing(docs, rows, empty):
     assert mixing.mix(mixing.sizes(empty)).count() == 0
 
 
+def test_mixing_edge_cases(spark):
+    """Texts without a word, rows repeated as they are, one source alone, ids that are null."""
+    blank = spark.createDataFrame([(1, None, "a"), (2, "", "b"), (3, " \n", None)], "doc_id bigint, text string, source string")
+    assert {(r["id"], r["size"], r["target"], r["taken"]) for r in mixing.mix(mixing.sizes(blank)).collect()} == {(i, 0, 0.0, 0) for i in (1, 2, 3)}
+    rows = [(7, "x y z", "a")] * 4 + [(None, "p q", "b"), (None, "p q", "b"), (8, "one", "b"), (9, None, "a")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(3)
+    got = mixing.mix(mixing.sizes(df)).collect()
+    assert len(got) == 8 and all(0 <= r["taken"] <= 2 * r["size"] for r in got)
+    for s in "ab":
+        own = [r for r in got if r["source"] == s]
+        assert own[0]["source_size"] == sum(r["size"] for r in own) and sum(r["taken"] for r in own) == int(own[0]["target"] + 1e-6)
+    one = mixing.mix(mixing.sizes(df.filter("source = 'a'"))).collect()
+    assert sum(r["taken"] for r in one) == 18
+
+
 def test_mixing_many_ranges(docs, monkeypatch):
     want = sorted(mixing.mix(mixing.sizes(docs)).collect())
     monkeypatch.setattr(mixing, "RANGE_ROWS", 4)

@@ -458,6 +458,17 @@ def test_chat_query(spark, folder):
     assert chat.digest_chats(turns.limit(0)).count() == 0
 
 
+def test_chat_rows_without_an_id(spark):
+    """All rows without conv_id are one conversation, however many; repeated rows are turns of their own; it ends where it should."""
+    rows = [(None, i, "assistant" if i % 2 else "user", f"t{i} [INST]") for i in range(400)] + [(None, 5, "assistant", "t5 [INST]"), (4, None, None, None)]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").repartition(6)
+    got = {r["conv_id"]: r for r in chat.format_chats(df).collect()}
+    assert set(got) == {None, 4}
+    turns = [(chat.unguard(a), chat.unguard(b)) for a, b in chat.TURN.findall(got[None]["formatted"])]
+    assert len(turns) == 401 and turns.count(("assistant", "t5 [INST]")) == 2 and turns[-1] == ("assistant", "t399 [INST]")
+    assert len(got[None]["loss_starts"]) == 201 and len(got[4]["loss_starts"]) == 0
+
+
 def test_templates():
     t = chat.Template("{% set n = 'x' + 'y' %}{% for m in messages %}{% if loop.first %}[{% elif m.role == 'a' and not loop.last %}a{% else %}-{% endif %}{{ m['text'] | upper | trim }}{{ loop.index }}{% if loop.last %}{{ n }}{% endif %}{% endfor %}")
     assert t.render([{"role": "a", "text": " p "}, {"role": "a", "text": "q"}, {"role": "b", "text": "r"}]).text == "[P1aQ2-R3xy"
