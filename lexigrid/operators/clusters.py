@@ -82,6 +82,23 @@ def merge(state: DataFrame, ids: list[int]) -> DataFrame:
     return state.withColumn("cluster_id", F.when(F.col("cluster_id").isin(list(ids)), F.lit(ids[0]).cast("long")).otherwise(F.col("cluster_id")))
 
 
+def edit(members: DataFrame, state: DataFrame, action: str, ids: list[int] = (), features: DataFrame | None = None, k: int = 2, iterations: int = 10, seed: int = 0) -> DataFrame:
+    """One edit by its name, as a form or a script gives it: the clusters in question, or the features (field, value, doc_count)."""
+    ids = list(ids)
+    if action in ("create", "delete_features", "replace") and features is None:
+        raise ValueError(f"{action} needs features")
+    if action in ("delete", "merge", "split", "dissolve") and not ids:
+        raise ValueError(f"{action} needs clusters")
+    does = {
+        "create": lambda: create(state, features), "delete_features": lambda: delete_features(state, features), "replace": lambda: replace(state, features),
+        "delete": lambda: delete_clusters(state, ids), "merge": lambda: merge(state, ids), "split": lambda: split(members, state, ids[0], k), "dissolve": lambda: dissolve(members, state, ids),
+        "refine": lambda: refine_only(members, state, ids, iterations, seed) if ids else refine(members, state, iterations, seed),
+    }
+    if action not in does:
+        raise ValueError(f"no such edit: {action}")
+    return does[action]()
+
+
 # --- reading ---
 
 

@@ -68,6 +68,10 @@ class Index:
         """Documents of the ids in a table (doc_id)."""
         return self.docs.join(ids.select("doc_id"), "doc_id", "left_semi")
 
+    def fetch_in_order(self, ids: DataFrame, at: str = "at") -> DataFrame:
+        """Documents of a table (doc_id, at), in the order of ``at``, once for each row; ids that aren't in the index are passed over."""
+        return ids.select("doc_id", at).join(self.docs, "doc_id").orderBy(at, "doc_id")
+
     def keys(self, ids: DataFrame, *columns: str) -> DataFrame:
         """(doc_id, columns) for ids that must all exist, such as the keys that the spec keeps."""
         return self.checked_ids(ids).join(self.docs.select("doc_id", *columns), "doc_id")

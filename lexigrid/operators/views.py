@@ -36,6 +36,11 @@ def field_view(index: Index, field: str, min_docs: int = 10, top_k: int | None =
     return facets.field_features(index, field, min_docs, top_k)
 
 
+def field_page(index: Index, field: str, min_docs: int = 10, top_k: int | None = None, sample: int = SAMPLE, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """A field's features, and a sample of documents beside them."""
+    return field_view(index, field, min_docs, top_k), facets.sample_docs(index, sample, seed)
+
+
 def panels(index: Index, ids: DataFrame, wanted: Sequence[Panel]) -> dict[str, DataFrame]:
     """Each panel's features against the documents (doc_id)."""
     return {p.title: facets.table_filter(facets.facet_by_ids(index, ids, *p.fields), p.order_by, True, p.first_k, p.keep_above) for p in wanted}
