@@ -50,7 +50,7 @@ class TemplateError(ValueError):
     pass
 
 
-# --- parsing ---------------------------------------------------------------------------------------------------------
+# --- parsing ---
 
 _TAG = re.compile(r"\{\{(.*?)\}\}|\{%-?(.*?)-?%\}", re.S)
 _TOKEN = re.compile(r"\s*(?:('(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\")|(\d+)|([A-Za-z_]\w*)|(==|!=|<=|>=|[-+<>()\[\].,|]))")
@@ -210,7 +210,7 @@ def parse(source: str) -> list[tuple]:
     return root
 
 
-# --- constant folding ------------------------------------------------------------------------------------------------
+# --- constant folding ---
 
 _OPS: dict[str, Callable] = {
     "+": lambda a, b: a + b, "==": lambda a, b: a == b, "!=": lambda a, b: a != b, "<": lambda a, b: a < b, ">": lambda a, b: a > b,
@@ -277,7 +277,7 @@ def _shown(v) -> str:
     return "" if v is None else str(v)
 
 
-# --- closures --------------------------------------------------------------------------------------------------------
+# --- closures ---
 
 
 def _item(a, b):

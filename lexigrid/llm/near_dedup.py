@@ -276,7 +276,7 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     gone = materialize(placed.join(stay, "component").filter("node <> stay").select(F.col("node").alias("_node")).distinct(), "near-gone")
     left = keyed.join(sized(gone, gone.count(), 48), "_node", "left_anti")
     if not plain:
-        shared = F.coalesce(F.col("_node") != F.col(id_col), F.lit(True)) & F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+        shared = F.coalesce(F.col("_node") != F.col(id_col).cast("long"), F.lit(True)) & F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
         left = left.filter(~shared).unionByName(left.filter(shared).dropDuplicates(["_node"]))
     return left.select(*docs.columns)
 

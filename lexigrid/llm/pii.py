@@ -83,7 +83,7 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return [(s, e, KINDS[k]) for s, e, k in sorted(out, key=lambda x: (x[0], x[2]))]
 
 
-# --- shapes ----------------------------------------------------------------------------------------------------------
+# --- shapes ---
 
 _FIELDS = ({"digit": b"0123456789", "lower": bytes(range(97, 123)), "upper": bytes(range(65, 91)), "at": b"@", "dot": b".", "dash": b"-", "paren": b"()[]<>", "colon": b":/\\"}, {"plus": b"+", "quote": b"\"'`", "symbol": b"#$%&*^~=|_{}", "shout": b"!?,;", "wide": bytes(range(128, 256))})
 _COUNTERS = []
@@ -179,7 +179,7 @@ def open_tokens(code: np.ndarray, row: np.ndarray) -> np.ndarray:
     return free
 
 
-# --- the field -------------------------------------------------------------------------------------------------------
+# --- the field ---
 
 
 def labelled(n: int = 900, seed: int = 7) -> list[tuple[list[str], list[str]]]:

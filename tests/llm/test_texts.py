@@ -38,7 +38,7 @@ def test_hash_does_not_depend_on_place(monkeypatch):
     assert (textkit.span_hash(buf, starts, ends) == want).all()
 
 
-# --- language ----------------------------------------------------------------------------------------------------------
+# --- language ---
 
 
 def test_langid(spark, empty):
@@ -125,7 +125,7 @@ def test_backoff_order():
     assert look.rows[look["qq"]].tolist() == [0, 0]
 
 
-# --- fingerprints ------------------------------------------------------------------------------------------------------
+# --- fingerprints ---
 
 
 def shingle_set(t):
@@ -225,7 +225,7 @@ def test_sketch_algebra():
     assert fingerprint.distinct(sa) == pytest.approx(len(shingle_set(a)), rel=0.3)
 
 
-# --- quality -----------------------------------------------------------------------------------------------------------
+# --- quality ---
 
 
 def test_quality(spark, docs, empty, folder):
@@ -305,7 +305,7 @@ def test_quality_density():
     assert quality.score(x, model) == pytest.approx(want, abs=1e-6)
 
 
-# --- personal data -----------------------------------------------------------------------------------------------------
+# --- personal data ---
 
 
 def naive_base(text):
@@ -429,7 +429,7 @@ def test_field_accuracy():
     assert right / total > 0.99 and hit / real > 0.99
 
 
-# --- chat --------------------------------------------------------------------------------------------------------------
+# --- chat ---
 
 
 def test_guard_round_trip():
@@ -479,7 +479,7 @@ def test_templates():
             chat.parse(bad)
 
 
-# --- tokeniser ---------------------------------------------------------------------------------------------------------
+# --- tokeniser ---
 
 
 def test_langid_keeps_a_small_language(spark):
