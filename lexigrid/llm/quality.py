@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexigrid.llm.textkit import python_stage, SPACE, flat, segments, slices, span_hash, words
+from lexigrid.shipping import ship
 from lexigrid.storage import materialize, spread
 
 NAMES = ("bytes", "words", "word_len", "word_len_sd", "distinct_words", "lines", "distinct_lines", "line_len", "upper", "digit", "stop_marks", "shout_marks", "symbols", "pipes", "other_marks", "not_ascii", "space", "caps_words", "symbol_ends", "one_letter")
@@ -94,17 +95,16 @@ def statistics(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
     return out
 
 
-def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """(id, x, c0, c1, ...): x holds the statistics as little-endian doubles, the rest the columns named in ``carry``."""
-    kind = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)])
+def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, x): x holds the statistics as little-endian doubles."""
+    kind = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             x = statistics(*flat(part.column("text")))
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([r.tobytes() for r in x], pa.binary()), *part.columns[2:]], ["id", "x", *part.schema.names[2:]])
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([r.tobytes() for r in x], pa.binary())], ["id", "x"])
 
-    kinds = kind.schema
-    return kind.transform(python_stage, run, ", ".join([f"id {kinds['id'].dataType.simpleString()}", "x binary", *(f"c{i} {kinds[f'c{i}'].dataType.simpleString()}" for i in range(len(carry)))]))
+    return kind.transform(python_stage, run, f"id {kind.schema['id'].dataType.simpleString()}, x binary")
 
 
 def fit(rows: DataFrame, shrink: float = SHRINK, ridge: float = RIDGE) -> dict:
@@ -182,19 +182,16 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that classify() would predict 1. Each row is judged by its own text, whatever its id; rows are kept
-    beside their statistics, so no text is shuffled."""
-    rows = materialize(features(docs, id_col, text_col, tuple(docs.columns)), "quality-rows")
-    model = learn(rows, labels)
-    names = [f"c{i}" for i in range(len(docs.columns))]
+    """The rows of ``docs`` that classify() would predict 1. Each row is judged by its own text, whatever its id. Texts are read a second
+    time to be scored where they are, so none is shuffled or comes back from Python."""
+    model = learn(materialize(features(docs, id_col, text_col), "quality-features"), labels)
+    ship(docs.sparkSession)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = np.frombuffer(b"".join(b.column("x").to_pylist()), float).reshape(b.num_rows, len(NAMES))
-            yield b.select(names).filter(pa.array(score(x, model) >= threshold))
+    def grade(column: pa.Array) -> pa.Array:
+        parts = [score(statistics(*flat(part.column("text"))), model) for part in slices(iter([pa.RecordBatch.from_arrays([column], ["text"])]), "text")]
+        return pa.array(np.concatenate(parts) if parts else np.zeros(0))
 
-    shape = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema.fields))
-    return rows.transform(python_stage, run, shape).toDF(*docs.columns)
+    return docs.filter(F.arrow_udf(grade, "double")(F.col(text_col).cast("string")) >= threshold)
 
 
 def op7_quality(spark, sf_dir: str) -> DataFrame:
