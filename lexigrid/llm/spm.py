@@ -16,6 +16,7 @@ import os
 import re
 import struct
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -125,6 +126,20 @@ def read_model(model: str | bytes) -> bytes:
         return f.read()
 
 
+@lru_cache(maxsize=1)
+def _core(raw: bytes, threads: int, by_units: bool) -> tuple:
+    """(tokenizer, its normalizer, settings, which pieces open with a marker, whether by units). Kept for all tasks of a worker: the library
+    never gives back some 10 MB of a tokenizer that has been used, so one a task would fill the worker in the end."""
+    parsed = parse_model(raw)
+    core = load(raw, threads)
+    normalizer = core.normalizer
+    by_units = by_units and core.pre_tokenizer is not None
+    if by_units:
+        core.normalizer = None
+    opens = np.array([p[:1] == MARK for p, _, _ in parsed["pieces"]])
+    return core, normalizer, {k: v for k, v in parsed.items() if k != "pieces"}, opens, by_units
+
+
 class Index(dict):
     """Numbers units as they are first met and lists the new ones."""
 
@@ -149,16 +164,9 @@ class Encoder:
     MEMORY = 300_000
 
     def __init__(self, model: str | bytes = MODEL, threads: int = THREADS, by_units: bool = True):
-        raw = read_model(model)
-        parsed = parse_model(raw)
-        self.core = load(raw, threads)
-        self.by_units = by_units and self.core.pre_tokenizer is not None
+        self.core, self.normalizer, parsed, self.opens, self.by_units = _core(read_model(model), threads, by_units)
         self.plain = not parsed["charsmap"] and not parsed["strip"] and parsed["escape"]
         self.prefix = parsed["dummy_prefix"]
-        self.normalizer = self.core.normalizer
-        if self.by_units:
-            self.core.normalizer = None
-        self.opens = np.array([p[:1] == MARK for p, _, _ in parsed["pieces"]])
         self.pattern = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
         self.reset()
 
@@ -244,14 +252,27 @@ class Encoder:
         return ids, end[first], (bad[first[1:]] == bad[first[:-1]]).tolist()
 
 
-def same_ids(lists: list[list[int]], ids: np.ndarray, off: np.ndarray) -> list[bool]:
-    """Whether each list equals its part of ``ids``."""
+def same_ids(lists: list, ids: np.ndarray, off: np.ndarray) -> list[bool]:
+    """Whether each list or array equals its part of ``ids``."""
     if [len(x) for x in lists] != np.diff(off).tolist():
-        return [x == ids[a:b].tolist() for x, a, b in zip(lists, off[:-1], off[1:])]
-    bad = np.concatenate([[0], np.cumsum(np.fromiter(chain.from_iterable(lists), np.int32, len(ids)) != ids)])
+        return [np.array_equal(x, ids[a:b]) for x, a, b in zip(lists, off[:-1], off[1:])]
+    bad = np.concatenate([[0], np.cumsum(np.concatenate([np.zeros(0, np.int32), *lists]) != ids)])
     return (bad[off[1:]] == bad[off[:-1]]).tolist()
 
 
+def encoded(t: Encoder, other, body: list[str]) -> tuple[pa.Array, list[bool], list]:
+    """(ids, whether they decode to the text, parity) of every text; a text that recurs is handed to each library once."""
+    number: dict[str, int] = {}
+    at = [number.setdefault(x, len(number)) for x in body]
+    once = list(number)
+    ids, off, same = t.batch(once)
+    parity = same_ids(other.encode(once, out_type="numpy", num_threads=1), ids, off) if other else [None] * len(once)
+    lists = pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(ids))
+    if len(once) < len(body):
+        lists, same, parity = lists.take(pa.array(at)), [same[i] for i in at], [parity[i] for i in at]
+    return lists, same, parity
+
+
 def encode(docs: DataFrame, path: str = MODEL, verify: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids, n_chars, decoded_same, parity): token ids of every whole text; whether decoding them gives the text again
     (a marker counts as a space), and whether the sentencepiece library has the same ids (null if not verified)."""
@@ -267,9 +288,7 @@ def encode(docs: DataFrame, path: str = MODEL, verify: bool = True, id_col: str
             other = sentencepiece.SentencePieceProcessor(model_proto=model.value)
         for part in slices(batches, "text", 1 << 20):
             body = texts(part.column("text"))
-            ids, off, same = t.batch(body)
-            parity = same_ids(other.encode(body, num_threads=1), ids, off) if other else [None] * len(body)
-            lists = pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(ids))
+            lists, same, parity = encoded(t, other, body)
             yield pa.RecordBatch.from_arrays([part.column("id"), lists, pa.array(map(len, body), pa.int64()), pa.array(same, pa.bool_()), pa.array(parity, pa.bool_())], ["id", "ids", "n_chars", "decoded_same", "parity"])
 
     return rows.transform(python_stage, run, f"id {rows.schema['id'].dataType.simpleString()}, ids array<int>, n_chars bigint, decoded_same boolean, parity boolean")

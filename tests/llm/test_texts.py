@@ -550,6 +550,44 @@ def test_spm_words_of_nul():
     assert spm.Encoder().batch(["a \0b"])[0].tolist() == [264, 28705, 3, 28726]
 
 
+def test_spm_tasks_share_a_tokenizer(monkeypatch):
+    """Encoders of one worker build one tokenizer, as a used one is never given back whole; what one task met is not kept for the next."""
+    built, build = [], spm.build
+    monkeypatch.setattr(spm, "build", lambda model: built.append(1) or build(model))
+    first = spm.Encoder()
+    ids = first.batch(["the cat  sat", ""])[0].tolist()
+    second = spm.Encoder()
+    assert len(built) <= 1 and not second.index and second.used == 0
+    assert second.batch(["", "the cat  sat"])[0].tolist() == ids == first.batch(["the cat  sat"])[0].tolist()
+    assert spm.Encoder(by_units=False).batch(["the cat  sat"])[0].tolist() == ids
+
+
+def test_spm_copies_are_encoded_once():
+    """Of equal texts in a slice each library gets one, and all have its ids, mark of decoding and parity."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=spm.MODEL)
+
+    class Other:
+        def __init__(self):
+            self.seen = []
+
+        def encode(self, body, **how):
+            self.seen += body
+            return [x[:-1] if t == "one wrong" else x for t, x in zip(body, sp.encode(body, **how))]
+
+    body = ["a b", "a b", "", "one wrong", "c d e", "a b", "one wrong", ""]
+    for t in (spm.Encoder(), spm.Encoder(by_units=False)):
+        other = Other()
+        lists, same, parity = spm.encoded(t, other, body)
+        assert other.seen == ["a b", "", "one wrong", "c d e"]
+        assert lists.to_pylist() == sp.encode(body) and same == [True] * 8
+        assert parity == [x != "one wrong" for x in body]
+        lists, same, parity = spm.encoded(t, None, body)
+        assert lists.to_pylist() == sp.encode(body) and parity == [None] * 8
+        assert spm.encoded(t, other, [])[0].to_pylist() == []
+
+
 def test_spm_unigram_model():
     """A hand-made unigram model: same ids as the sentencepiece library."""
     import struct
