@@ -18,7 +18,7 @@ from lexigrid.operators.facets import statistics
 from lexigrid.operators.index import Index
 from lexigrid.operators.plugins import Migration, Plugin
 from lexigrid.spec import RANGE
-from lexigrid.storage import materialize, sized
+from lexigrid.storage import DICTIONARY_BYTES, materialize, sized
 
 FEATURE = ["field", "value"]
 STATE = ["cluster_id", "field", "value", "doc_count"]
@@ -39,15 +39,27 @@ def initial(index: Index, k: int, min_docs: int = 10, fields: list[str] | None =
             raise ValueError(f"{f} is a range and can't be clustered")
     df = None
     for f in fields:
-        part = index.features(f, min_docs).select(F.lit(f).alias("field"), F.col("value").cast("string").alias("value"), "doc_count")
+        part = index.doc_counts(f, min_docs).select(F.lit(f).alias("field"), F.col("value").cast("string").alias("value"), "doc_count")
         df = part if df is None else df.unionByName(part)
-    df = df.withColumn("_h", hash_key(seed)).withColumn("_r", F.shiftright("_h", 52))  # 256 ranges
+    # kept, since what follows reads it twice, and a condition on the hash would else be asked of every token before they are counted
+    df = materialize(df, "features").withColumn("_h", hash_key(seed)).withColumn("_r", F.shiftright("_h", 52))  # 256 ranges
     before = df.groupBy("_r").agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.sum("_n").over(Window.orderBy("_r")) - F.col("_n"))
     inner = F.row_number().over(Window.partitionBy("_r").orderBy("_h", "field", "value"))
     ranked = df.withColumn("_i", inner).join(F.broadcast(before), "_r")
     return ranked.select(((F.col("_before") + F.col("_i") - 1) % k + 1).cast("long").alias("cluster_id"), "field", "value", "doc_count")
 
 
+def named(state: DataFrame, *columns: str) -> DataFrame:
+    """(field, value, columns) of a clustering, marked for broadcast if it is small enough: its counted features are the dictionary that postings meet."""
+    found = state.select(*FEATURE, *columns)
+    return sized(found, state.count(), 96, DICTIONARY_BYTES)
+
+
+def members_of(index: Index, state: DataFrame, *fields: str) -> DataFrame:
+    """The index's members of the features in a clustering; with a dictionary of them no posting is shuffled."""
+    return index.membership(*fields).join(named(state), FEATURE, "left_semi")
+
+
 # --- editing ---
 
 
@@ -121,7 +133,7 @@ def label(state: DataFrame, k: int = 3) -> DataFrame:
 
 def coverage(members: DataFrame, state: DataFrame) -> DataFrame:
     """(cluster_id, doc_id, times): how many features of the cluster a document has."""
-    return members.join(state.select("cluster_id", *FEATURE), FEATURE).groupBy("cluster_id", "doc_id").agg(F.count(F.lit(1)).alias("times"))
+    return members.join(named(state, "cluster_id"), FEATURE).groupBy("cluster_id", "doc_id").agg(F.count(F.lit(1)).alias("times"))
 
 
 def cluster_docs(members: DataFrame, state: DataFrame) -> DataFrame:
@@ -137,20 +149,21 @@ def summary(members: DataFrame, state: DataFrame, total: int) -> DataFrame:
 
 def facet_clusters(members: DataFrame, state: DataFrame, ids: DataFrame, total: int) -> DataFrame:
     """Statistics of each cluster's documents against a table (doc_id)."""
-    q = ids.select("doc_id").distinct()
-    n = q.agg(F.count(F.lit(1)).alias("q"))
-    got = cluster_docs(members, state).join(q.withColumn("_hit", F.lit(1)), "doc_id", "left").groupBy("cluster_id").agg(F.count(F.lit(1)).alias("d"), F.count("_hit").alias("h"))
-    s = statistics(F.col("d"), F.col("h"), F.col("q"), F.lit(total))
-    return got.crossJoin(F.broadcast(n)).select("cluster_id", *[c for i, c in enumerate(s) if i != 3])  # one row
+    q = materialize(ids.select("doc_id").distinct(), "cluster-query")
+    n = q.count()
+    got = cluster_docs(members, state).join(sized(q, n, 48).withColumn("_hit", F.lit(1)), "doc_id", "left").groupBy("cluster_id").agg(F.count(F.lit(1)).alias("d"), F.count("_hit").alias("h"))
+    s = statistics(F.col("d"), F.col("h"), F.lit(n).cast("long"), F.lit(total))
+    return got.select("cluster_id", *[c for i, c in enumerate(s) if i != 3])
 
 
 def facet_features(members: DataFrame, state: DataFrame, ids: DataFrame, total: int) -> DataFrame:
     """Statistics of each feature inside its cluster."""
-    q = ids.select("doc_id").distinct()
-    n = q.agg(F.count(F.lit(1)).alias("q"))
-    h = members.join(state.select(*FEATURE), FEATURE, "left_semi").join(q, "doc_id", "left_semi").groupBy(*FEATURE).agg(F.count(F.lit(1)).alias("h"))
-    got = state.join(h, FEATURE, "left").withColumn("h", F.coalesce("h", F.lit(0).cast("long")))
-    return got.crossJoin(F.broadcast(n)).select("cluster_id", *FEATURE, *statistics(F.col("doc_count"), F.col("h"), F.col("q"), F.lit(total)))
+    q = materialize(ids.select("doc_id").distinct(), "cluster-query")
+    n = q.count()
+    all_ = numbered(state)
+    h = members.join(named(all_, "fid"), FEATURE).select("fid", "doc_id").join(sized(q, n, 48), "doc_id", "left_semi").groupBy("fid").agg(F.count(F.lit(1)).alias("h"))
+    got = all_.join(h, "fid", "left").withColumn("h", F.coalesce("h", F.lit(0).cast("long")))
+    return got.select("cluster_id", *FEATURE, *statistics(F.col("doc_count"), F.col("h"), F.lit(n).cast("long"), F.lit(total)))
 
 
 def matching_features(faceted: DataFrame) -> DataFrame:
@@ -168,30 +181,51 @@ def cluster_stats(cov: DataFrame, state: DataFrame) -> DataFrame:
     return feats.join(docs, "cluster_id").withColumn("objective", F.col("total") / (F.col("docs_any") + F.col("n")))
 
 
-def removal_deltas(members: DataFrame, state: DataFrame, cov: DataFrame | None = None) -> DataFrame:
-    """(cluster_id, field, value, delta): what a cluster's objective owes to each of its features."""
-    cov = coverage(members, state) if cov is None else cov
-    own = members.join(state.select("cluster_id", *FEATURE), FEATURE).join(cov.filter("times = 1"), ["cluster_id", "doc_id"], "left_semi").groupBy(*FEATURE).agg(F.count(F.lit(1)).alias("o"))
-    t = state.join(own, FEATURE, "left").withColumn("o", F.coalesce("o", F.lit(0))).join(cluster_stats(cov, state), "cluster_id")
+def numbered(features: DataFrame) -> DataFrame:
+    """The features, kept, with a number ``fid`` that stands for the two strings in joins and groups."""
+    return materialize(features.withColumn("fid", F.monotonically_increasing_id()), "cluster-features")
+
+
+def removal_deltas(members: DataFrame, state: DataFrame) -> DataFrame:
+    """(cluster_id, field, value, delta): what a cluster's objective owes to each of its features.
+
+    Of a document that has one feature of a cluster, the least number of these is that feature's: no pair of them meets."""
+    ids = numbered(state.select(*STATE))
+    cov = members.join(named(ids, "cluster_id", "fid"), FEATURE).groupBy("cluster_id", "doc_id").agg(F.count(F.lit(1)).alias("times"), F.min("fid").alias("fid"))
+    cov = materialize(cov, "cluster-coverage")
+    own = cov.filter("times = 1 and doc_id is not null").groupBy("fid").agg(F.count(F.lit(1)).alias("o"))
+    t = ids.join(own, "fid", "left").withColumn("o", F.coalesce("o", F.lit(0))).join(F.broadcast(cluster_stats(cov, state)), "cluster_id")  # one row a cluster
     left = F.col("docs_any") - F.col("o")
     d = F.when((left > 0) & (F.col("o") < F.col("doc_count")), F.col("objective") - (F.col("total") - F.col("doc_count")) / (left + F.col("n") - 1)).otherwise(F.lit(-1.0))
     return t.select("cluster_id", *FEATURE, d.alias("delta"))
 
 
-def addition_deltas(members: DataFrame, state: DataFrame, cov: DataFrame | None = None) -> DataFrame:
+def shared(members: DataFrame, features: DataFrame, cov: DataFrame) -> DataFrame:
+    """(cluster_id, features' columns, x): in how many of a feature's documents (cluster_id, doc_id) has each cluster; none without any.
+
+    Documents with the same set of clusters are alike here, so a feature's documents are counted by set, and the counts meet the clusters."""
+    ids = numbered(features)
+    docs = cov.filter("doc_id is not null").groupBy("doc_id").agg(F.sort_array(F.collect_set("cluster_id")).alias("set"))
+    docs = materialize(docs, "cluster-sets")
+    sets = materialize(docs.select("set").distinct().withColumn("sid", F.monotonically_increasing_id()), "cluster-set-ids")
+    docs = docs.join(sized(sets, sets.count(), 256), "set").select("doc_id", "sid")
+    times = members.join(named(ids, "fid"), FEATURE).select("fid", "doc_id").join(docs, "doc_id").groupBy("fid", "sid").agg(F.count(F.lit(1)).alias("x"))
+    x = times.join(sized(sets, sets.count(), 256), "sid").select("fid", "x", F.explode("set").alias("cluster_id")).groupBy("fid", "cluster_id").agg(F.sum("x").alias("x"))
+    return x.join(ids, "fid").drop("fid")
+
+
+def addition_deltas(members: DataFrame, state: DataFrame) -> DataFrame:
     """(cluster_id, field, value, delta) for every cluster that shares a document with a feature of another one."""
-    cov = coverage(members, state) if cov is None else cov
-    mine = state.select(F.col("cluster_id").alias("own"), *FEATURE, "doc_count")
-    both = members.join(mine, FEATURE).join(cov.select("cluster_id", "doc_id"), "doc_id").filter("own <> cluster_id")
-    x = both.groupBy("cluster_id", *FEATURE, "doc_count").agg(F.count(F.lit(1)).alias("x")).join(cluster_stats(cov, state), "cluster_id")
+    cov = materialize(coverage(members, state), "cluster-coverage")
+    x = shared(members, state.select(F.col("cluster_id").alias("own"), *FEATURE, "doc_count"), cov).filter("own <> cluster_id")
+    x = x.join(F.broadcast(cluster_stats(cov, state)), "cluster_id")  # one row a cluster
     d = (F.col("total") + F.col("doc_count")) / (F.col("docs_any") + F.col("doc_count") - F.col("x") + F.col("n") + 1) - F.col("objective")
     return x.select("cluster_id", *FEATURE, d.alias("delta"))
 
 
 def best_moves(members: DataFrame, state: DataFrame) -> DataFrame:
     """(own, field, value, best): the cluster with the greatest (delta, id) for each feature."""
-    cov = coverage(members, state)
-    all_ = removal_deltas(members, state, cov).unionByName(addition_deltas(members, state, cov))
+    all_ = removal_deltas(members, state).unionByName(addition_deltas(members, state))
     best = all_.groupBy(*FEATURE).agg(F.max(F.struct("delta", "cluster_id")).alias("b"))
     return state.select(F.col("cluster_id").alias("own"), *FEATURE).join(best, FEATURE).select("own", *FEATURE, F.col("b.cluster_id").alias("best"))
 
@@ -201,8 +235,8 @@ def propose(members: DataFrame, state: DataFrame, features: DataFrame) -> DataFr
 
     Only pairs that share documents are scored one by one. Clusters that share none are candidates too: their gain depends on the feature's
     document count alone, so the best one is found for each different count. It is no more than the pair's own gain where documents are shared."""
-    cov = coverage(members, state)
-    x = members.join(features.select(*FEATURE), FEATURE, "left_semi").join(cov.select("cluster_id", "doc_id"), "doc_id").groupBy("cluster_id", *FEATURE).agg(F.count(F.lit(1)).alias("x"))
+    cov = materialize(coverage(members, state), "cluster-coverage")
+    x = shared(members, features.select(*FEATURE, "doc_count"), cov)
     stats = materialize(cluster_stats(cov, state).select("cluster_id", "n", "total", "docs_any"), "cluster-stats")
 
     def gain(shared: Column) -> Column:
@@ -210,7 +244,7 @@ def propose(members: DataFrame, state: DataFrame, features: DataFrame) -> DataFr
         return (F.col("total") + F.col("doc_count")) / (F.col("n") + 1 + u) - F.col("total") / (F.col("n") + F.col("docs_any"))
 
     stats = sized(stats, stats.count(), 96)
-    near = features.select(*FEATURE, "doc_count").join(x, FEATURE).join(stats, "cluster_id").select(*FEATURE, gain(F.col("x")).alias("gain"), "cluster_id")
+    near = x.join(stats, "cluster_id").select(*FEATURE, gain(F.col("x")).alias("gain"), "cluster_id")
     far = features.select("doc_count").distinct().join(stats, F.lit(True)).select("doc_count", F.struct(gain(F.lit(0)).alias("gain"), "cluster_id").alias("g")).groupBy("doc_count").agg(F.max("g").alias("g"))
     all_ = near.unionByName(features.select(*FEATURE, "doc_count").join(far, "doc_count").select(*FEATURE, "g.gain", "g.cluster_id"))
     return all_.groupBy(*FEATURE).agg(F.max(F.struct("gain", "cluster_id"))["cluster_id"].alias("cluster_id"))
@@ -406,7 +440,7 @@ def split_then_refine(members: DataFrame, state: DataFrame, k: int, larger: int,
 
 def recount(members: DataFrame, state: DataFrame) -> DataFrame:
     """The clusters with document counts of another index's members; a feature that it lacks keeps its place with a count of 0."""
-    now = members.join(state.select(*FEATURE), FEATURE, "left_semi").groupBy(*FEATURE).agg(F.count(F.lit(1)).alias("_now"))
+    now = members.join(named(state), FEATURE, "left_semi").groupBy(*FEATURE).agg(F.count(F.lit(1)).alias("_now"))
     return state.join(now, FEATURE, "left").select("cluster_id", *FEATURE, F.coalesce("_now", F.lit(0).cast("long")).alias("doc_count"))
 
 

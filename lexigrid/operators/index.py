@@ -136,6 +136,8 @@ class Index:
         """(field, value, doc_id), distinct, without a shuffle; scalars count as sets of one."""
         fields = fields or tuple(self.kinds)
         made = [F.array_distinct(F.col(f).cast("array<string>")) if self.kinds[f] in (SEQUENCE, SET) else F.array_compact(F.array(F.col(f).cast("string"))) for f in fields]
+        if len(fields) == 1:
+            return self.docs.select(F.lit(fields[0]).alias("field"), F.explode(made[0]).alias("value"), "doc_id")
         rows = F.array(*[F.struct(F.lit(f).alias("field"), m.alias("values")) for f, m in zip(fields, made)])
         return self.docs.select("doc_id", F.explode(rows).alias("r")).select("r.field", F.explode("r.values").alias("value"), "doc_id")
 
@@ -158,6 +160,14 @@ class Index:
             got = self.docs.select(value.alias("value")).filter("value is not null").groupBy("value").agg(F.count(F.lit(1)).alias("doc_count")).withColumn("location_count", F.lit(0).cast("long"))
         return got.filter(F.col("doc_count") >= min_docs)
 
+    def doc_counts(self, field: str, min_docs: int = 1) -> DataFrame:
+        """(value, doc_count) of features(), where locations aren't asked for: a token that its document repeats leaves it once."""
+        if field not in self.kinds:
+            raise KeyError(field)
+        value = F.explode(F.array_distinct(field)) if self.kinds[field] in (SEQUENCE, SET) else F.col(field)
+        got = self.docs.select(value.alias("value")).filter("value is not null").groupBy("value").agg(F.count(F.lit(1)).alias("doc_count"))
+        return got.filter(F.col("doc_count") >= min_docs)
+
     def field_summary(self) -> DataFrame:
         """One row a field: uniques, least and greatest value, documents, most values in a document, locations, range flag."""
         parts = []

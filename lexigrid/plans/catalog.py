@@ -515,45 +515,49 @@ CL = f"{P}, fc AS (SELECT 'text' AS field, value, CAST(count(*) AS BIGINT) AS do
 QL = "ql AS (SELECT doc_id FROM d WHERE lang = 'en'), t AS (SELECT (SELECT count(*) FROM documents) AS n, count(*) AS q FROM ql)"
 
 
-def _clusters(spark, sf):
-    """(index, members, state) of the test clustering."""
+def _state(spark, sf):
+    """(index, state) of the test clustering, the state kept; members are made only where they are read."""
     i = documents(spark, sf)
-    state = C.initial(i, K, MIN_DOCS, ["text"])
-    return i, i.membership("text").join(state.select(*C.FEATURE), C.FEATURE, "left_semi"), state
+    return i, materialize(C.initial(i, K, MIN_DOCS, ["text"]), "clusters")
+
+
+def _once(spark, sf):
+    """(index, members, state) where the members are read once."""
+    i, state = _state(spark, sf)
+    return i, C.members_of(i, state, "text"), state
 
 
 def _kept(spark, sf):
-    """The same as tables written once: what follows reads the members many times."""
-    i, members, state = _clusters(spark, sf)
-    state = materialize(state, "clusters")
-    return i, materialize(i.membership("text").join(state.select(*C.FEATURE), C.FEATURE, "left_semi"), "members"), state
+    """The same with the members kept: what follows reads them many times."""
+    i, members, state = _once(spark, sf)
+    return i, materialize(members, "members", "snappy"), state
 
 
 @query("cluster_init", f"WITH {CL} SELECT cluster_id, field, value, doc_count FROM st")
 def _(spark, sf):
-    return _clusters(spark, sf)[2]
+    return _state(spark, sf)[1]
 
 
 @query("cluster_summary", f"WITH {CL} SELECT cluster_id, CAST(n AS BIGINT) AS feature_count, total AS hits, CAST(docs_any AS BIGINT) AS doc_count, docs_any / CAST({N} AS DOUBLE) AS relative_doc_count FROM cs")
 def _(spark, sf):
-    i, members, state = _kept(spark, sf)
+    i, members, state = _once(spark, sf)
     return C.summary(members, state, i.total())
 
 
 @query("cluster_docs", f"WITH {CL} SELECT cluster_id, doc_id FROM cov")
 def _(spark, sf):
-    _, members, state = _clusters(spark, sf)
+    _, members, state = _once(spark, sf)
     return C.cluster_docs(members, state)
 
 
 @query("cluster_top_features", f"WITH {CL}, r AS (SELECT *, CAST(row_number() OVER (PARTITION BY cluster_id ORDER BY doc_count DESC, field, value) AS INT) AS rank FROM st) SELECT * FROM r WHERE rank <= 5")
 def _(spark, sf):
-    return C.clustering(_clusters(spark, sf)[2], 5)
+    return C.clustering(_state(spark, sf)[1], 5)
 
 
 @query("cluster_objective", f"WITH {CL} SELECT cluster_id, CAST(n AS BIGINT) AS n, total, CAST(docs_any AS BIGINT) AS docs_any, objective FROM cs")
 def _(spark, sf):
-    _, members, state = _kept(spark, sf)
+    _, members, state = _once(spark, sf)
     return C.cluster_stats(C.coverage(members, state), state).select("cluster_id", "n", "total", "docs_any", "objective")
 
 
@@ -562,7 +566,7 @@ REMOVAL = f"{CL}, o AS (SELECT value, count(*) AS o FROM m JOIN cov USING (clust
 
 @query("cluster_removal_delta", f"WITH {REMOVAL} SELECT cluster_id, field, value, CAST(delta AS DOUBLE) AS delta FROM rm")
 def _(spark, sf):
-    _, members, state = _kept(spark, sf)
+    _, members, state = _once(spark, sf)
     return C.removal_deltas(members, state)
 
 
@@ -596,29 +600,29 @@ def _(spark, sf):
 
 @query("cluster_merge", f"WITH {CL} SELECT CASE WHEN cluster_id IN (1, 6) THEN 1 ELSE cluster_id END AS cluster_id, field, value, doc_count FROM st")
 def _(spark, sf):
-    return C.merge(_clusters(spark, sf)[2], [1, 6])
+    return C.merge(_state(spark, sf)[1], [1, 6])
 
 
 @query("cluster_delete", f"WITH {CL} SELECT cluster_id, field, value, doc_count FROM st WHERE cluster_id NOT IN (1, 7)")
 def _(spark, sf):
-    return C.delete_clusters(_clusters(spark, sf)[2], [1, 7])
+    return C.delete_clusters(_state(spark, sf)[1], [1, 7])
 
 
 @query("cluster_create", f"WITH {CL} SELECT CASE WHEN value >= 'th' AND value < 'ti' THEN {K} + 1 ELSE cluster_id END AS cluster_id, field, value, doc_count FROM st")
 def _(spark, sf):
-    state = _kept(spark, sf)[2]
+    state = _state(spark, sf)[1]
     return C.create(state, state.filter("value >= 'th' and value < 'ti'"))
 
 
 @query("cluster_replace", f"WITH {CL} SELECT CASE WHEN value < 'e' THEN 2 ELSE cluster_id END AS cluster_id, field, value, doc_count FROM st WHERE cluster_id <> 2 OR value < 'e'")
 def _(spark, sf):
-    state = _kept(spark, sf)[2]
+    state = _state(spark, sf)[1]
     return C.replace(state, state.filter("value < 'e'").withColumn("cluster_id", F.lit(2).cast("long")))
 
 
 @query("facet_clusters", f"WITH {CL}, {QL}, g AS (SELECT cluster_id, CAST(count(*) AS BIGINT) AS d, CAST(count(ql.doc_id) AS BIGINT) AS h FROM cov LEFT JOIN ql USING (doc_id) GROUP BY cluster_id) SELECT cluster_id, d AS doc_count, d / CAST(n AS DOUBLE) AS relative_doc_count, h AS hits, h / CAST(d + q - h AS DOUBLE) AS jaccard_similarity, h / CAST(d AS DOUBLE) AS feature_proportion, h / CAST(q AS DOUBLE) AS query_proportion FROM g, t")
 def _(spark, sf):
-    i, members, state = _kept(spark, sf)
+    i, members, state = _once(spark, sf)
     return C.facet_clusters(members, state, i.lookup(("lang", "en")), i.total())
 
 
@@ -627,13 +631,13 @@ FF = f"{CL}, {QL}, hh AS (SELECT value, CAST(count(*) AS BIGINT) AS h FROM m JOI
 
 @query("facet_clustering", f"WITH {FF} SELECT cluster_id, field, value, {STATS} FROM g, t")
 def _(spark, sf):
-    i, members, state = _kept(spark, sf)
+    i, members, state = _once(spark, sf)
     return C.facet_features(members, state, i.lookup(("lang", "en")), i.total())
 
 
 @query("matching_feature_count", f"WITH {FF} SELECT cluster_id, CAST(count(*) FILTER (h > 0) AS BIGINT) AS matching_feature_count FROM g GROUP BY cluster_id")
 def _(spark, sf):
-    i, members, state = _kept(spark, sf)
+    i, members, state = _once(spark, sf)
     return C.matching_features(C.facet_features(members, state, i.lookup(("lang", "en")), i.total()))
 
 
@@ -653,18 +657,18 @@ def _(spark, sf):
 
 @query("cluster_delete_features", f"WITH {CL} SELECT cluster_id, field, value, doc_count FROM st WHERE NOT (value >= 'a' AND value < 'b')")
 def _(spark, sf):
-    state = _kept(spark, sf)[2]
+    state = _state(spark, sf)[1]
     return C.delete_features(state, state.filter("value >= 'a' and value < 'b'"))
 
 
 @query("cluster_one", f"WITH {CL} SELECT cluster_id, field, value, doc_count FROM st WHERE cluster_id = 3 ORDER BY doc_count DESC, field, value LIMIT 12")
 def _(spark, sf):
-    return C.cluster_features(_clusters(spark, sf)[2], 3, 12)
+    return C.cluster_features(_state(spark, sf)[1], 3, 12)
 
 
 @query("cluster_labels", f"WITH {CL}, r AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY doc_count DESC, field, value) AS k FROM st) SELECT cluster_id, string_agg(value, ', ' ORDER BY k) AS label FROM r WHERE k <= 3 GROUP BY cluster_id")
 def _(spark, sf):
-    return C.label(_clusters(spark, sf)[2])
+    return C.label(_state(spark, sf)[1])
 
 
 @query("cluster_recount", f"WITH {CL}, e AS (SELECT value, CAST(count(*) AS BIGINT) AS n FROM p JOIN d USING (doc_id) WHERE lang = 'en' GROUP BY value) SELECT cluster_id, field, value, coalesce(n, 0) AS doc_count FROM st LEFT JOIN e USING (value)")
@@ -675,7 +679,7 @@ def _(spark, sf):
 
 @query("browse_clause_of_clusters", f"WITH {CL} SELECT doc_id FROM d WHERE (lang = 'fr' OR doc_id IN (SELECT doc_id FROM cov WHERE cluster_id IN (2, 3))) AND {HAS('the')}")
 def _(spark, sf):
-    i, members, state = _kept(spark, sf)
+    i, members, state = _once(spark, sf)
     return clause_query(i, [[("lang", "fr"), 2, 3], [("text", "the")]], cluster_docs=C.cluster_docs(members, state))
 
 
@@ -699,7 +703,7 @@ def _(spark, sf):
 
 @query("browse_clusters", f"WITH {CL}, {QL}, g AS (SELECT cluster_id, CAST(count(*) AS BIGINT) AS d, CAST(count(ql.doc_id) AS BIGINT) AS h FROM cov LEFT JOIN ql USING (doc_id) GROUP BY cluster_id) SELECT cluster_id, h AS hits, h / CAST(d + q - h AS DOUBLE) AS jaccard_similarity FROM g, t WHERE h > 0 ORDER BY jaccard_similarity DESC, cluster_id LIMIT 5")
 def _(spark, sf):
-    i, members, state = _kept(spark, sf)
+    i, members, state = _once(spark, sf)
     return views.browse(i, members, state, [[("lang", "en")]], top_clusters=5).clusters.select("cluster_id", "hits", "jaccard_similarity")
 
 
@@ -711,7 +715,7 @@ def _(spark, sf):
 
 @query("browse_everything", f"WITH {CL} SELECT cluster_id, CAST(docs_any AS BIGINT) AS doc_count, docs_any / CAST({N} AS DOUBLE) AS jaccard_similarity FROM cs ORDER BY jaccard_similarity DESC, cluster_id LIMIT 30")
 def _(spark, sf):
-    i, members, state = _kept(spark, sf)
+    i, members, state = _once(spark, sf)
     return views.browse(i, members, state, []).clusters.select("cluster_id", "doc_count", "jaccard_similarity")
 
 

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: A side is broadcast only when its measured in-memory estimate is below this many bytes.
 BROADCAST_BYTES = 24 << 20
+#: The same for a dictionary of features or clusters' places, without which every posting would be shuffled: some two million features.
+DICTIONARY_BYTES = 192 << 20
 
 _made: list[tuple[SparkSession, str]] = []
 
@@ -62,14 +64,14 @@ def discard() -> None:
 atexit.register(discard)
 
 
-def small(rows: int, row_bytes: int) -> bool:
+def small(rows: int, row_bytes: int, most: int = BROADCAST_BYTES) -> bool:
     """Whether a table of so many rows may be broadcast."""
-    return rows * row_bytes <= BROADCAST_BYTES
+    return rows * row_bytes <= most
 
 
-def sized(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
+def sized(df: DataFrame, rows: int, row_bytes: int, most: int = BROADCAST_BYTES) -> DataFrame:
     """Mark ``df`` for broadcast if ``rows * row_bytes`` is small; otherwise leave it to a shuffled join."""
-    return F.broadcast(df) if small(rows, row_bytes) else df
+    return F.broadcast(df) if small(rows, row_bytes, most) else df
 
 
 def spread(df: DataFrame) -> DataFrame:
