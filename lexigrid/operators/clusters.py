@@ -11,11 +11,14 @@ from __future__ import annotations
 import math
 import random
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexigrid.operators.facets import statistics
 from lexigrid.operators.index import Index
+from lexigrid.operators.meetings import Meetings
 from lexigrid.operators.plugins import Migration, Plugin
 from lexigrid.spec import RANGE
 from lexigrid.storage import DICTIONARY_BYTES, materialize, sized
@@ -313,60 +316,51 @@ def sampled_moves(members: DataFrame, state: DataFrame, picked: DataFrame) -> Da
     """(run, own, field, value, best) of the features ``picked`` from a state (run, cluster_id, field, value, doc_count) of several clusterings.
 
     Only their documents meet the clusters; clusterings never meet each other."""
-    cov = members.join(state.select("run", "cluster_id", *FEATURE), FEATURE).groupBy("run", "cluster_id", "doc_id").agg(F.count(F.lit(1)).alias("times"))
-    cov = materialize(cov, "cluster-coverage")
-    stats = state.groupBy("run", "cluster_id").agg(F.count(F.lit(1)).alias("n"), F.sum("doc_count").alias("total")).join(cov.groupBy("run", "cluster_id").agg(F.count(F.lit(1)).alias("docs_any")), ["run", "cluster_id"])
-    stats = materialize(stats.withColumn("objective", F.col("total") / (F.col("docs_any") + F.col("n"))), "cluster-stats")
-    stats = sized(stats, stats.count(), 128)
-    mine = picked.select("run", F.col("cluster_id").alias("own"), *FEATURE, "doc_count")
-    met = members.join(mine, FEATURE).join(cov, ["run", "doc_id"])
-    # of the own cluster the documents that nothing else of it has, of others those that they share
-    x = met.filter("cluster_id <> own or times = 1").groupBy("own", "cluster_id", *RUN, "doc_count").agg(F.count(F.lit(1)).alias("x"))
-    own = mine.withColumn("cluster_id", F.col("own")).join(x.filter("cluster_id = own").select(*RUN, "x"), RUN, "left").withColumn("x", F.coalesce("x", F.lit(0).cast("long")))
-    pairs = own.select("own", "cluster_id", *RUN, "doc_count", "x").unionByName(x.filter("cluster_id <> own").select("own", "cluster_id", *RUN, "doc_count", "x")).join(stats, ["run", "cluster_id"])
-    left = F.col("docs_any") - F.col("x")
-    stay = F.when((left > 0) & (F.col("x") < F.col("doc_count")), F.col("objective") - (F.col("total") - F.col("doc_count")) / (left + F.col("n") - 1)).otherwise(F.lit(-1.0))
-    go = (F.col("total") + F.col("doc_count")) / (F.col("docs_any") + F.col("doc_count") - F.col("x") + F.col("n") + 1) - F.col("objective")
-    delta = F.when(F.col("own") == F.col("cluster_id"), stay).otherwise(go)
-    best = pairs.groupBy("own", *RUN).agg(F.max(F.struct(delta.alias("delta"), "cluster_id"))["cluster_id"].alias("best"))
-    return best.select("run", "own", *FEATURE, "best")
+    m = Meetings(members, state)
+    flags = np.zeros(len(m.cluster), bool)
+    flags[picked.select(*RUN).join(m.entries, RUN).select("entry").toArrow()["entry"].to_numpy()] = True
+    entries, best = m.best(m.cluster, flags)
+    to = state.sparkSession.createDataFrame(pa.table({"entry": entries.astype(np.int32), "best": m.clusters[best, 1]}))
+    return m.entries.join(to, "entry").select("run", F.col("cluster_id").alias("own"), *FEATURE, "best")
 
 
 def refine_runs(members: DataFrame, state: DataFrame, iterations: int = 10, seed: int = 0, sampling_rate: float | None = None) -> DataFrame:
     """Refines the clusterings of a state (run, cluster_id, field, value, doc_count) side by side, in the same jobs.
 
-    An iteration looks at a sample of each run's features, least by a hash that changes each time, see checks(). Pairs that share documents are scored
-    in Spark; the sampled features' best clusters come to the driver, where the moves depend on one another, together with each cluster's size, and
-    only the moves go back. A run ends when none of its sample would move with a full sample, or by the iterations."""
-    members = materialize(members.join(state.select(*FEATURE).distinct(), FEATURE, "left_semi"), "cluster-members")
-    state = materialize(state.select("run", *STATE), "clusters")
-    count = {r["run"]: (r["f"], r["k"]) for r in state.groupBy("run").agg(F.count(F.lit(1)).alias("f"), F.count_distinct("cluster_id").alias("k")).collect()}  # one row a run
-    budget = {run: checks(f, k, sampling_rate) for run, (f, k) in count.items()}
+    An iteration looks at a sample of each run's features, least by a hash that changes each time, see checks(). The sample meets the clusters in the
+    workers, see Meetings; the sampled features' best clusters come to the driver as numbers, where the moves depend on one another, and the changed
+    clustering goes out as an array. A run ends when none of its sample would move with a full sample, or by the iterations."""
+    m = Meetings(members, state)
+    cluster, count = m.cluster.copy(), {}
+    runs, first = np.unique(m.run, return_index=True)
+    for run, start, end in zip(runs.tolist(), first.tolist(), [*first[1:].tolist(), len(cluster)]):
+        count[run] = (start, end, len(np.unique(cluster[start:end])))
+    budget = {run: checks(end - start, k, sampling_rate) for run, (start, end, k) in count.items()}
     rng = {run: random.Random(f"{seed}:{run}") for run in budget}
-    spark = state.sparkSession
     for i in range(iterations):
         if not budget:
             break
-        most = spark.createDataFrame(list(budget.items()), "run bigint, most bigint")  # one row a run
-        order = Window.partitionBy("run").orderBy(F.xxhash64(F.lit(seed), F.lit(i), *FEATURE), *FEATURE)
-        picked = state.join(F.broadcast(most), "run").withColumn("_rank", F.row_number().over(order)).filter("_rank <= most").select("run", *STATE)
-        found: dict[int, list] = {}
-        for run, *row in sampled_moves(members, state, materialize(picked, "cluster-picked")).collect():
-            found.setdefault(run, []).append(tuple(row))
-        size: dict[int, dict[int, int]] = {}
-        for run, c, n in state.groupBy("run", "cluster_id").count().collect():
-            size.setdefault(run, {})[c] = n
-        moves = []
-        for run, rows in found.items():
-            at, possible, made = apply_moves(rows, rng[run], size[run])
-            if not possible and budget[run] == count[run][0]:
+        got = m.entries.select("entry", F.xxhash64(F.lit(seed), F.lit(i), *FEATURE).alias("h")).toArrow().sort_by("entry")
+        picked = np.zeros(len(cluster), bool)
+        for run, most in budget.items():
+            start, end, _ = count[run]
+            picked[start + np.argsort(got["h"].to_numpy()[start:end], kind="stable")[:most]] = True
+        entries, best = m.best(cluster, picked)
+        size = dict(enumerate(np.bincount(cluster, minlength=len(m.clusters)).tolist()))
+        for run in list(budget):
+            start, end, _ = count[run]
+            a, b = np.searchsorted(entries, [start, end])
+            if a == b:
+                continue
+            at, possible, _ = apply_moves([(own, 0, e, to) for own, e, to in zip(cluster[entries[a:b]].tolist(), entries[a:b].tolist(), best[a:b].tolist())], rng[run], size)
+            if not possible and budget[run] == end - start:
                 del budget[run]
-            own = {(f, v): c for c, f, v, _ in rows}
-            moves += [(run, f, v, c) for (f, v), c in at.items() if c != own[f, v]]
-        if moves:
-            new = materialize(spark.createDataFrame(moves, "run bigint, field string, value string, _to bigint"), "cluster-moves")
-            state = materialize(state.join(sized(new, len(moves), 160), RUN, "left").select("run", F.coalesce("_to", "cluster_id").alias("cluster_id"), *FEATURE, "doc_count"), "clusters")
-    return state
+            for (_, e), c in at.items():
+                cluster[e] = c
+    moved = np.flatnonzero(cluster != m.cluster)
+    to = state.sparkSession.createDataFrame(pa.table({"entry": moved.astype(np.int32), "_to": m.clusters[cluster[moved], 1]}))
+    new = m.entries.join(sized(to, len(moved), 64), "entry", "left")
+    return materialize(new.select("run", F.coalesce("_to", "cluster_id").alias("cluster_id"), *FEATURE, "doc_count"), "clusters")
 
 
 def refine(members: DataFrame, state: DataFrame, iterations: int = 10, seed: int = 0, sampling_rate: float | None = None) -> DataFrame:
@@ -397,6 +391,7 @@ def as_features(members: DataFrame, state: DataFrame, field: str = "cluster") ->
 
 def cluster_clusters(items: DataFrame, k: int, iterations: int = 10, seed: int = 0) -> DataFrame:
     """A clustering into k of items (field, value, doc_id) that are clusters themselves."""
+    items = materialize(items, "cluster-items")
     counts = items.groupBy(*FEATURE).agg(F.count(F.lit(1)).alias("doc_count"))
     start = counts.withColumn("cluster_id", (F.row_number().over(Window.orderBy(hash_key(seed), *FEATURE)) - 1) % k + 1)  # one row a cluster
     return refine(items, start.select(F.col("cluster_id").cast("long").alias("cluster_id"), *FEATURE, "doc_count"), iterations, seed)
@@ -490,6 +485,6 @@ def crosstab(index: Index, members: DataFrame, state: DataFrame, group: str, clu
     like = lambda: (F.col("hits") / (F.col("d") + F.col("g") - F.col("hits"))).alias("jaccard_similarity")
     x = cov.join(groups, "doc_id").groupBy("grp", "cluster_id").agg(F.count(F.lit(1)).alias("hits")).join(g, "grp").join(d, "cluster_id").select("grp", "cluster_id", like())
     top = x.withColumn("cluster_rank", F.row_number().over(Window.partitionBy("grp").orderBy(F.desc("jaccard_similarity"), "cluster_id"))).filter(F.col("cluster_rank") <= clusters)
-    h = members.join(state.select("cluster_id", *FEATURE, F.col("doc_count").alias("d")), FEATURE).join(groups, "doc_id").groupBy("grp", "cluster_id", *FEATURE, "d").agg(F.count(F.lit(1)).alias("hits"))
+    h = members.join(named(state.withColumnRenamed("doc_count", "d"), "cluster_id", "d"), FEATURE).join(groups, "doc_id").groupBy("grp", "cluster_id", *FEATURE, "d").agg(F.count(F.lit(1)).alias("hits"))
     y = h.join(top.select("grp", "cluster_id", "cluster_rank"), ["grp", "cluster_id"]).join(g, "grp").select("grp", "cluster_id", "cluster_rank", *FEATURE, "hits", like())
     return y.withColumn("rank", F.row_number().over(Window.partitionBy("grp", "cluster_id").orderBy(F.desc("jaccard_similarity"), *FEATURE))).filter(F.col("rank") <= features)

@@ -522,15 +522,15 @@ def _state(spark, sf):
 
 
 def _once(spark, sf):
-    """(index, members, state) where the members are read once."""
+    """(index, members, state) where the members are read once: those of other features are left to the join with the state."""
     i, state = _state(spark, sf)
-    return i, C.members_of(i, state, "text"), state
+    return i, i.membership("text"), state
 
 
 def _kept(spark, sf):
     """The same with the members kept: what follows reads them many times."""
-    i, members, state = _once(spark, sf)
-    return i, materialize(members, "members", "snappy"), state
+    i, state = _state(spark, sf)
+    return i, materialize(C.members_of(i, state, "text"), "members", "snappy"), state
 
 
 @query("cluster_init", f"WITH {CL} SELECT cluster_id, field, value, doc_count FROM st")
@@ -685,13 +685,13 @@ def _(spark, sf):
 
 @query("cluster_refine")
 def _(spark, sf):
-    _, members, state = _kept(spark, sf)
+    _, members, state = _once(spark, sf)
     return C.refine(members, state, 10, 42)
 
 
 @query("cluster_clusters")
 def _(spark, sf):
-    _, members, state = _kept(spark, sf)
+    _, members, state = _once(spark, sf)
     return C.cluster_clusters(C.as_features(members, state), 3, 10, 42)
 
 
