@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 
 from lexigrid.functions.ranges import quantile_cuts, range_of
 from lexigrid.functions.values import Feature, FeatureCodec, check_feature
+from lexigrid.operators.located import grouped
+from lexigrid.shipping import ship
 from lexigrid.spec import RANGE, SCALAR, SEQUENCE, SET, CorpusSpec, FieldSpec, handler_of
 
 PASSAGE = 16
@@ -190,12 +192,20 @@ class Index:
     # --- storage ---
 
     def located(self) -> DataFrame:
-        """(field, value, doc_id, tf, positions) of array fields; positions are null but for sequences."""
+        """(field, value, doc_id, tf, positions) of array fields; positions are null but for sequences.
+
+        A document's tokens are grouped in the task that reads it; only if an id occurs more than once are postings shuffled to be put together."""
+        ship(self.docs.sparkSession)
+        again = bool(self.docs.groupBy("doc_id").count().filter("count > 1").limit(1).count())
         parts = None
         for f in self.arrays:
-            rows = self.docs.select("doc_id", F.posexplode(F.col(f).cast("array<string>")).alias("pos", "value"))
-            spots = F.sort_array(F.collect_list("pos")) if self.kinds[f] == SEQUENCE else F.lit(None).cast("array<int>")
-            part = rows.groupBy("value", "doc_id").agg(F.count(F.lit(1)).alias("tf"), spots.alias("positions")).select(F.lit(f).alias("field"), "value", "doc_id", "tf", "positions")
+            spots = self.kinds[f] == SEQUENCE
+            rows = self.docs.select("doc_id", F.col(f).cast("array<string>").alias("tokens")).filter("tokens is not null")
+            part = rows.mapInArrow(lambda it, spots=spots: grouped(it, spots), "value string, doc_id bigint, tf bigint, positions array<int>")
+            if again:
+                merged = F.sort_array(F.flatten(F.collect_list("positions"))) if spots else F.lit(None).cast("array<int>")
+                part = part.groupBy("value", "doc_id").agg(F.sum("tf").alias("tf"), merged.alias("positions"))
+            part = part.select(F.lit(f).alias("field"), "value", "doc_id", "tf", "positions")
             parts = part if parts is None else parts.unionByName(part)
         return parts
 
@@ -213,7 +223,8 @@ class Index:
         version = f"v-{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
         self.docs.write.parquet(f"{path}/{version}/docs")
         if self.arrays:
-            self.located().repartitionByRange("field", "value", "doc_id").sortWithinPartitions("field", "value", "doc_id").write.partitionBy("field").parquet(f"{path}/{version}/postings")
+            # from what was written: else each text would be cut into tokens again, once to find the ranges and once to fill them
+            Index(spark.read.schema(self.docs.schema).parquet(f"{path}/{version}/docs"), self.kinds).located().repartitionByRange("field", "value", "doc_id").sortWithinPartitions("field", "value", "doc_id").write.partitionBy("field").parquet(f"{path}/{version}/postings")
         self.settings().write.text(f"{path}/{version}/settings")
         point(spark, path, version)
 
